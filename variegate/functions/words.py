@@ -27,6 +27,9 @@ STOP_WORDS = {
     """.split(),
 }
 
+WORD = r"[\p{L}\p{N}_]"
+END = rf"(?!{WORD})"
+
 # The published Penn Treebank word-splitting rules, as
 # (pattern, replacement), with a full stop before white space taken as the end
 # of a sentence.
@@ -39,9 +42,9 @@ TREEBANK_RULES = [
     (r"""(?<=[^.\s])\.(?=[\])}>"'»”’ ]*(?:\s|\z))""", " . "),
     (r"''|\"", " '' "),
     (r"(?i)(?<=[^'\s])('(?:ll|re|ve|s|m|d)?|n't)(?=\s|\z)", " $1"),
-    (r"(?i)\b(can(?=not\b)|d(?='ye\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)"
-     r"|more(?='n\b)|wan(?=na\b))", "$1 "),
-    (r"(?i)(?<!\S)('t)(?=(?:is|was)\b)", "$1 "),
+    (rf"(?i)(?<!{WORD})(can(?=not{END})|d(?='ye{END})|gim(?=me{END})|gon(?=na{END})"
+     rf"|got(?=ta{END})|lem(?=me{END})|more(?='n{END})|wan(?=na{END}))", "$1 "),
+    (rf"(?i)(?<!\S)('t)(?=(?:is|was){END})", "$1 "),
 ]
 
 
