@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,22 +31,20 @@ STOP_WORDS = {
 WORD = r"[\p{L}\p{N}_]"
 END = rf"(?!{WORD})"
 
-# The published Penn Treebank word-splitting rules, as
-# (pattern, replacement), with a full stop before white space taken as the end
-# of a sentence.
-TREEBANK_RULES = [
-    (r"[«“‘„»”’]|`+", " $0 "),
-    (r'(^|[\s(\[{<])"', "$1 `` "),
-    (r"\.{2,}", " $0 "),
-    (r"--|[;@#$%&?!*\[\](){}<>]", " $0 "),
-    (r"[:,](?!\d)", " $0 "),
-    (r"""(?<=[^.\s])\.(?=[\])}>"'»”’ ]*(?:\s|\z))""", " . "),
+# The published Penn Treebank word-splitting rules. The first sets marks
+# apart; a full stop before white space is taken as the end of a sentence. The others,
+# as (pattern, replacement), concern quotes and contractions.
+MARKS = (r"\.{2,}|--|[;@#$%&?!*\[\](){}<>«“‘„»”’]|`+|[:,](?!\d)"
+         r"""|\.(?<=[^.\s]\.)(?=[\])}>"'»”’ ]*(?:\s|\z))""")
+QUOTE_RULES = [
+    (r'"(?<![^\s(\[{<]")', " `` "),
     (r"''|\"", " '' "),
-    (r"(?i)(?<=[^'\s])('(?:ll|re|ve|s|m|d)?|n't)(?=\s|\z)", " $1"),
+    (r"(?i)(?:'(?:ll|re|ve|s|m|d)?(?<=[^'\s]'[a-z]{0,2})|n't(?<=[^'\s]n't))(?=\s|\z)", " $0"),
     (rf"(?i)(?<!{WORD})(can(?=not{END})|d(?='ye{END})|gim(?=me{END})|gon(?=na{END})"
      rf"|got(?=ta{END})|lem(?=me{END})|more(?='n{END})|wan(?=na{END}))", "$1 "),
     (rf"(?i)(?<!\S)('t)(?=(?:is|was){END})", "$1 "),
 ]
+QUOTE_SIGNS = ["'", '"', "cannot", "gimme", "gonna", "gotta", "lemme", "wanna"]
 
 
 def stop_words(language: str) -> list[str]:
@@ -55,13 +54,18 @@ def stop_words(language: str) -> list[str]:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda token: token != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_tokens(text: Column) -> Column:
-    for pattern, replacement in TREEBANK_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return whitespace_tokens(text)
+    """Treebank words; the quote rules run only on texts that have a sign of one."""
+    marked = F.regexp_replace(text, MARKS, " $0 ")
+    quoted = marked
+    for pattern, replacement in QUOTE_RULES:
+        quoted = F.regexp_replace(quoted, pattern, replacement)
+    lowered = F.lower(text)
+    signs = reduce(Column.__or__, [lowered.contains(sign) for sign in QUOTE_SIGNS])
+    return whitespace_tokens(F.when(signs, quoted).otherwise(marked))
 
 
 def token_count(text: Column, tokenizer: Tokenizer = word_tokens) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +46,18 @@ def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max
     # One answer per row and partitioned by answer: n-grams are counted without a shuffle.
     tokens = df.where(F.col(text).isNotNull()) \
         .select(*answer, tokenizer(F.lower(text)).alias("tokens")).repartition(*answer)
-    lengths = tokens.select(*answer, F.size("tokens").alias("length"))
+    # A union and not a join, so that both sides read the same shuffled tokens.
+    lengths = tokens.select(*answer, F.size("tokens").alias("length"), F.lit(0).alias("n"))
     alone = _unshared_occurrences(tokens, keys, order, max_n)
-    joined = lengths.join(alone, answer, "left")
+    joined = lengths.unionByName(alone, allowMissingColumns=True).groupBy(*answer).agg(
+        F.max("length").alias("length"),
+        *[F.count(F.when(F.col("n") == n, 1)).alias(f"alone_{n}") for n in range(1, max_n + 1)])
 
     logs = F.lit(0.0)
     matches = []
     for n in range(1, max_n + 1):
         total = F.greatest(F.col("length") - (n - 1), F.lit(0))
-        matched = total - F.coalesce(f"alone_{n}", F.lit(0))
+        matched = total - F.col(f"alone_{n}")
         matches.append(matched)
         floor = EPSILON if smoothing else sys.float_info.min
         shown = F.when(matched == 0, F.lit(floor)).otherwise(matched.cast("double"))
@@ -66,35 +70,30 @@ def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max
     return joined.select(*answer, "length", precision.alias("precision"))
 
 
-def ngrams(tokens: Column, max_n: int) -> Column:
-    """All n-grams up to ``max_n`` as (n, gram); tokens hold no space, so the join is exact."""
-    size = F.size(tokens)
+def ngrams(tokens: DataFrame, kept: list[str], max_n: int) -> DataFrame:
+    """``kept, n, gram`` for every n up to ``max_n``.
 
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), size - (n - 1))
-        grams = F.transform(starts, lambda p: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(tokens, p, F.lit(n)), " ").alias("gram")))
-        return F.when(size >= n, grams).otherwise(_no_grams())
-
-    return F.flatten(F.array(*[of_length(n) for n in range(1, max_n + 1)]))
-
-
-def _no_grams() -> Column:
-    return F.array().cast("array<struct<n: int, gram: string>>")
+    Tokens hold no space, so grams joined by spaces are as good as lists of tokens.
+    """
+    columns = ["tokens"]
+    for n in range(2, max_n + 1):
+        columns.append(f"__grams_{n}")
+        tokens = NGram(n=n, inputCol="tokens", outputCol=columns[-1]).transform(tokens)
+    of_each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(column).alias("grams"))
+                        for n, column in enumerate(columns, start=1)])
+    return tokens.select(*kept, F.inline(of_each)) \
+        .select(*kept, "n", F.explode("grams").alias("gram"))
 
 
 def _unshared_occurrences(tokens: DataFrame, keys: list[str], order: str,
                           max_n: int) -> DataFrame:
-    """Per answer and n, the occurrences that no other answer of the group has."""
-    grams = tokens.select(*keys, order, F.inline(ngrams(F.col("tokens"), max_n)))
-    counted = grams.groupBy(*keys, order, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    """``keys, order, n``: a row per occurrence that no other answer of the group has."""
+    counted = ngrams(tokens, [*keys, order], max_n).groupBy(*keys, order, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
     occurrences = counted.select(*keys, order, "n", "gram", F.explode(
         F.sequence(F.lit(1), F.col("times").cast("int"))).alias("occurrence"))
-    unshared = occurrences.groupBy(*keys, "n", "gram", "occurrence").agg(
+    return occurrences.groupBy(*keys, "n", "gram", "occurrence").agg(
         F.count(F.lit(1)).alias("holders"), F.min(order).alias(order)) \
-        .where(F.col("holders") == 1)
-    return unshared.groupBy(*keys, order).agg(*[
-        F.count(F.when(F.col("n") == n, 1)).alias(f"alone_{n}") for n in range(1, max_n + 1)])
+        .where(F.col("holders") == 1).select(*keys, order, "n")
 
 
 def _brevity_penalty(keys: list[str]) -> Column:

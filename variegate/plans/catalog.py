@@ -115,9 +115,9 @@ def extract_items_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 def meaningful_items(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.document_answers(table(spark, folder, "documents"))
-    return answers.select("doc_id", long("answer_idx"),
-                          long("n_tokens", F.size(words.meaningful_tokens(F.col("answer")))),
-                          words.is_meaningful(F.col("answer")).alias("is_meaningful"))
+    counted = answers.select("doc_id", long("answer_idx"), long(
+        "n_tokens", F.size(words.meaningful_tokens(F.col("answer")))))
+    return counted.withColumn("is_meaningful", F.col("n_tokens") >= ATTEMPT_RULES["min_tokens"])
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:

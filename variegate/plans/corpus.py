@@ -11,7 +11,10 @@ DOCUMENT_KEYS = ["lang", "doc_id"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the given tables; a file with fewer splits than cores is spread over them."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def lines(text: Column) -> Column:

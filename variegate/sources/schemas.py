@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TEXT, INT, LONG, DOUBLE, FLAG = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 QUERY_KEYS = ["task_idx", "query_idx"]
@@ -16,24 +20,25 @@ TASK_SET_JSON = ("array<struct<task_name: string, task_name_original: string, "
                  "task_prompt: string, task_list: array<string>>>")
 ANSWERS_JSON = "array<array<array<string>>>"
 
-TASKS = _struct("task_idx INT, task_name STRING, task_name_original STRING, "
-                "task_prompt STRING, query_idx INT, query STRING")
-ANSWERS = _struct("task_idx INT, query_idx INT, answer_idx INT, answer STRING")
-ATTEMPTS = _struct("task_idx INT, query_idx INT, attempt INT, text STRING, "
-                   "finish_reason STRING")
-EMBEDDINGS = _struct("env STRING, embedding_model STRING, generation_model STRING, "
-                     "answer_only BOOLEAN, task_idx INT, query_idx INT, answer_idx INT, "
-                     "embedding ARRAY<FLOAT>")
-EMBEDDING_REQUEST = _struct("custom_id STRING, method STRING, url STRING, "
-                            "body STRUCT<model: STRING, input: STRING>")
+TASKS = _struct(task_idx=INT, task_name=TEXT, task_name_original=TEXT, task_prompt=TEXT,
+                query_idx=INT, query=TEXT)
+ANSWERS = _struct(task_idx=INT, query_idx=INT, answer_idx=INT, answer=TEXT)
+ATTEMPTS = _struct(task_idx=INT, query_idx=INT, attempt=INT, text=TEXT, finish_reason=TEXT)
+EMBEDDINGS = _struct(env=TEXT, embedding_model=TEXT, generation_model=TEXT, answer_only=FLAG,
+                     task_idx=INT, query_idx=INT, answer_idx=INT,
+                     embedding=T.ArrayType(T.FloatType()))
+
+EMBEDDING_REQUEST = _struct(custom_id=TEXT, method=TEXT, url=TEXT,
+                            body=_struct(model=TEXT, input=TEXT))
+_VECTOR = _struct(embedding=T.ArrayType(DOUBLE))
 EMBEDDING_RESPONSE = _struct(
-    "custom_id STRING, response STRUCT<body: STRUCT<data: ARRAY<STRUCT<"
-    "embedding: ARRAY<DOUBLE>>>>>")
+    custom_id=TEXT, response=_struct(body=_struct(data=T.ArrayType(_VECTOR))))
+_CALL = _struct(function=_struct(arguments=TEXT))
+_CHOICE = _struct(message=_struct(content=TEXT, tool_calls=T.ArrayType(_CALL)))
 RATING_RESPONSE = _struct(
-    "custom_id STRING, response STRUCT<body: STRUCT<choices: ARRAY<STRUCT<message: STRUCT<"
-    "content: STRING, tool_calls: ARRAY<STRUCT<function: STRUCT<arguments: STRING>>>>>>>>")
-RATINGS = _struct("custom_id STRING, fluency DOUBLE, flexibility DOUBLE, "
-                  "originality DOUBLE, elaboration DOUBLE, overall DOUBLE")
-LEDGER = _struct("seq LONG, batch_id STRING, input_file_id STRING, "
-                 "input_file_name STRING, status STRING")
-SCORES = _struct("task_idx INT, query_idx INT, method STRING, arg_n INT, score DOUBLE")
+    custom_id=TEXT, response=_struct(body=_struct(choices=T.ArrayType(_CHOICE))))
+
+RATINGS = _struct(custom_id=TEXT, fluency=DOUBLE, flexibility=DOUBLE, originality=DOUBLE,
+                  elaboration=DOUBLE, overall=DOUBLE)
+LEDGER = _struct(seq=LONG, batch_id=TEXT, input_file_id=TEXT, input_file_name=TEXT, status=TEXT)
+SCORES = _struct(task_idx=INT, query_idx=INT, method=TEXT, arg_n=INT, score=DOUBLE)
