@@ -31,6 +31,26 @@ def tokens(text: str) -> str:
     return f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda t: t <> '')"
 
 
+def word_tokens(text: str) -> str:
+    """Without look-around: a rule that would share a character runs twice."""
+    marked = replace_all(text, r"""([^.\s])\.([\])}>"'»”’ ]*(?:\s|$))""", r"'\1 . \2'")
+    for _ in range(2):
+        marked = replace_all(marked, r"([:,])([^0-9]|$)", r"' \1 \2'")
+    for pattern in (r"\.{2,}", r"--|[;@#$%&?!*\[\](){}<>]", f"{QUOTES}|`+"):
+        marked = replace_all(marked, pattern, r"' \0 '")
+    marked = replace_all(marked, r'(^|[\s(\[{<])"', r"'\1 `` '")
+    marked = replace_all(marked, "''|\"", "' '' '".replace("''", "''''"))
+    marked = replace_all(marked, r"(?i)([^'\s])('(?:ll|re|ve|s|m|d)?|n't)(\s|$)", r"'\1 \2\3'")
+    for first, second in (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"),
+                          ("got", "ta"), ("lem", "me"), ("more", "'n"), ("wan", "na")):
+        for _ in range(2):
+            marked = replace_all(
+                marked, rf"(?i)(^|{NOT_WORD})({first})({second})($|{NOT_WORD})",
+                r"'\1\2 \3\4'")
+    marked = replace_all(marked, rf"(?i)(^|\s)('t)(is|was)($|{NOT_WORD})", r"'\1\2 \3\4'")
+    return tokens(marked)
+
+
 def numbered(items: str, separator: str) -> str:
     return (f"array_to_string(list_transform({items}, lambda v, i: i || '. ' || v), "
             f"{separator})")
@@ -206,6 +226,10 @@ answer_scores AS (
 DOCUMENT_TOKENS = f"""{ANSWERS},
 toks AS (SELECT lang, doc_id, answer_idx AS i, {tokens('lower(answer)')} AS toks FROM answers)"""
 
+DOCUMENT_WORDS = f"""{ANSWERS},
+toks AS (
+  SELECT lang, doc_id, answer_idx AS i, {word_tokens('lower(answer)')} AS toks FROM answers)"""
+
 CONVERSATION_TOKENS = f"""
 toks AS (
   SELECT conv_id AS query_idx, turn AS i, {tokens('lower(text)')} AS toks
@@ -381,11 +405,17 @@ FROM documents d LEFT JOIN ratings r ON d.doc_id = r.doc_id""",
 SELECT lang, doc_id, len(all_lines)::BIGINT AS n_answers FROM lined""",
     "answer_length": f"""WITH {ANSWERS}
 SELECT d.lang, d.doc_id, round(avg(len({tokens('answer')})), 6) AS answer_length
+FROM documents d LEFT JOIN answers a USING (doc_id) GROUP BY 1, 2""",
+    "answer_length_words": f"""WITH {ANSWERS}
+SELECT d.lang, d.doc_id, round(avg(len({word_tokens('answer')})), 6) AS answer_length
 FROM documents d LEFT JOIN answers a USING (doc_id) GROUP BY 1, 2""",
     "self_bleu_conversations": self_bleu(CONVERSATION_TOKENS, "query_idx", 4) + """
 SELECT query_idx, round(avg(score), 6) AS score FROM answer_scores GROUP BY query_idx""",
     "self_bleu_documents": self_bleu(DOCUMENT_TOKENS, "lang, doc_id", 4) + """
 SELECT lang, doc_id, round(avg(score), 6) AS score FROM answer_scores GROUP BY lang, doc_id""",
+    "self_bleu_words": self_bleu(DOCUMENT_WORDS, "lang, doc_id", 2) + """
+SELECT lang, doc_id, 'self_bleu' AS method, 2::BIGINT AS arg_n, round(avg(score), 6) AS score
+FROM answer_scores GROUP BY lang, doc_id""",
     "hashed_embedding_size": f"""WITH {ANSWERS}
 SELECT doc_id, answer_idx::BIGINT AS answer_idx, 256::BIGINT AS dimensions,
        greatest(2 * len({tokens('answer')}) - 1, 0)::BIGINT AS n_features FROM answers""",
