@@ -43,14 +43,14 @@ def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max
                       smoothing: bool, tokenizer: Tokenizer) -> DataFrame:
     """``keys, order, length, precision``: the geometric mean of the clipped precisions."""
     answer = [*keys, order]
-    # One answer per row and partitioned by answer: n-grams are counted without a shuffle.
     tokens = df.where(F.col(text).isNotNull()) \
-        .select(*answer, tokenizer(F.lower(text)).alias("tokens")).repartition(*answer)
-    # A union and not a join, so that both sides read the same shuffled tokens.
-    lengths = tokens.select(*answer, F.size("tokens").alias("length"), F.lit(0).alias("n"))
-    alone = _unshared_occurrences(tokens, keys, order, max_n)
-    joined = lengths.unionByName(alone, allowMissingColumns=True).groupBy(*answer).agg(
-        F.max("length").alias("length"),
+        .select(*answer, tokenizer(F.lower(text)).alias("tokens"))
+    unshared = occurrences(tokens, answer, order, max_n) \
+        .groupBy(*keys, "n", "gram", "occurrence").agg(
+            F.count(F.lit(1)).alias("holders"), F.min(order).alias(order)) \
+        .where(F.col("holders") == 1)
+    counted = unshared.groupBy(*answer).agg(
+        F.max(F.when(F.col("n") == 0, F.col("occurrence"))).alias("length"),
         *[F.count(F.when(F.col("n") == n, 1)).alias(f"alone_{n}") for n in range(1, max_n + 1)])
 
     logs = F.lit(0.0)
@@ -67,33 +67,38 @@ def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max
             precision = F.when(matched == 0, shown).otherwise(shown / F.greatest(total, F.lit(1)))
         logs = logs + F.log(precision) / max_n
     precision = F.when(matches[0] == 0, 0.0).otherwise(F.exp(logs))
-    return joined.select(*answer, "length", precision.alias("precision"))
+    return counted.select(*answer, "length", precision.alias("precision"))
 
 
-def ngrams(tokens: DataFrame, kept: list[str], max_n: int) -> DataFrame:
-    """``kept, n, gram`` for every n up to ``max_n``.
+def occurrences(tokens: DataFrame, answer: list[str], order: str, max_n: int) -> DataFrame:
+    """``answer, n, gram, occurrence`` for every n up to ``max_n``, without a shuffle.
 
-    Tokens hold no space, so grams joined by spaces are as good as lists of tokens.
+    Within a row, sorted grams stand in runs, and a run of k is numbered 1..k. Tokens hold no
+    space, so grams joined by spaces are as good as lists of tokens. A row with n = 0 is added
+    per answer, named by its position so that no other has it; it carries the answer's length.
     """
     columns = ["tokens"]
     for n in range(2, max_n + 1):
         columns.append(f"__grams_{n}")
         tokens = NGram(n=n, inputCol="tokens", outputCol=columns[-1]).transform(tokens)
-    of_each = F.array(*[F.struct(F.lit(n).alias("n"), F.col(column).alias("grams"))
-                        for n, column in enumerate(columns, start=1)])
-    return tokens.select(*kept, F.inline(of_each)) \
-        .select(*kept, "n", F.explode("grams").alias("gram"))
-
-
-def _unshared_occurrences(tokens: DataFrame, keys: list[str], order: str,
-                          max_n: int) -> DataFrame:
-    """``keys, order, n``: a row per occurrence that no other answer of the group has."""
-    counted = ngrams(tokens, [*keys, order], max_n).groupBy(*keys, order, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
-    occurrences = counted.select(*keys, order, "n", "gram", F.explode(
-        F.sequence(F.lit(1), F.col("times").cast("int"))).alias("occurrence"))
-    return occurrences.groupBy(*keys, "n", "gram", "occurrence").agg(
-        F.count(F.lit(1)).alias("holders"), F.min(order).alias(order)) \
-        .where(F.col("holders") == 1).select(*keys, order, "n")
+    name = F.array(F.col(order).cast("string"))
+    of_each = F.array(*[F.struct(F.lit(n).alias("n"), grams.alias("grams")) for n, grams in
+                        enumerate([name, *[F.col(column) for column in columns]])])
+    grams = tokens.select(*answer, F.size("tokens").alias("length"), F.inline(of_each)) \
+        .where(F.size("grams") > 0) \
+        .select(*answer, "length", "n", F.sort_array("grams").alias("grams"))
+    gram = F.col("grams")
+    starts = F.filter(F.sequence(F.lit(0), F.size(gram) - 1),
+                      lambda i: (i == 0) | (F.get(gram, i) != F.get(gram, i - 1)))
+    marked = grams.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size(gram)))
+    runs = F.zip_with("starts", ends, lambda start, end: F.struct(
+        F.get(gram, start).alias("gram"), (end - start).alias("times")))
+    counted = marked.select(*answer, "length", "n", F.inline(runs))
+    first = F.when(F.col("n") == 0, F.col("length")).otherwise(1)
+    last = F.when(F.col("n") == 0, F.col("length")).otherwise(F.col("times"))
+    return counted.select(*answer, "n", "gram",
+                          F.explode(F.sequence(first, last)).alias("occurrence"))
 
 
 def _brevity_penalty(keys: list[str]) -> Column:
