@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from variegate.operators import tasks
+from variegate.operators import replies, tasks
 from variegate.sources import readers, schemas, writers
 
 
@@ -39,6 +39,18 @@ def test_embeddings_by_run(spark, tmp_path):
     assert readers.read_embeddings(spark, path).schema["answer_only"].dataType.typeName() == "boolean"
 
 
+def test_run_columns_and_attempt_log(spark, tmp_path):
+    attempts = spark.createDataFrame([(0, 0, 0, "1. red paper boat", "stop")], schemas.ATTEMPTS)
+    log = replies.attempt_log(replies.check_attempts(attempts))
+    path = str(tmp_path / "log")
+    for env in ("first", "second"):
+        writers.append_attempt_log(writers.with_run(log, env, "org/model"), path)
+    rows = spark.read.parquet(path).collect()
+    assert {(r["env"], r["generation_model"], r["ok"]) for r in rows} == {
+        ("first", "org/model", True), ("second", "org/model", True)}
+    assert all(r["logged_at"] is not None for r in rows)
+
+
 def test_request_lines(spark, tmp_path):
     asked = spark.createDataFrame([(0, "t", "T", "p ", 0, 'q "ü"\n')], schemas.TASKS)
     answers = spark.createDataFrame([(0, 0, 0, "a\\b")], schemas.ANSWERS)

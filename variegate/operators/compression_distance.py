@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variegate.functions.compression import gzip_len, gzip_size
-from variegate.operators.grouping import (SizedGroups, pair_up_blocks, per_group, split_by_size)
+from variegate.operators.grouping import (SizedGroups, pair_up_blocks, per_group,
+                                          per_small_group, split_by_size)
 
 # Units of one block, and with it the most answers of a group that one task takes whole.
 BLOCK = 128
@@ -53,7 +54,7 @@ def _small_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
         units = [Unit(text, gzip_size(text), sorted(where)) for text, where in positions.items()]
         return [distance_sums(units, None)]
 
-    return per_group(rows, keys, SUMS, kernel)
+    return per_small_group(rows, keys, SUMS, kernel)
 
 
 def _large_sums(groups: SizedGroups, keys: list[str], block: int, stretch: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,15 +30,10 @@ def hashed_embedding(df: DataFrame, text: str = "text", dimensions: int = 256,
                      column: str = "embedding",
                      tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
     """Counts of words and word pairs in hashed places; needs no model, never negative."""
-    features = df.withColumn("__tokens", words_and_pairs(tokenizer(F.lower(text))))
-    hashing = HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=dimensions)
+    tokens = df.withColumn("__tokens", tokenizer(F.lower(text)))
+    pairs = NGram(n=2, inputCol="__tokens", outputCol="__pairs").transform(tokens)
+    features = pairs.withColumn("__features", F.concat("__tokens", "__pairs"))
+    hashing = HashingTF(inputCol="__features", outputCol="__counts", numFeatures=dimensions)
     return hashing.transform(features) \
         .withColumn(column, vector_to_array("__counts", "float32")) \
-        .drop("__tokens", "__counts")
-
-
-def words_and_pairs(tokens: Column) -> Column:
-    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.size(following)), following,
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(tokens, pairs)
+        .drop("__tokens", "__pairs", "__features", "__counts")

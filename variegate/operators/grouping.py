@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -93,21 +94,65 @@ def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [T.StructField(key, df.schema[key].dataType) for key in keys]
 
 
+Kernel = Callable[[pa.Table], list[dict]]
+
+
 def per_group(df: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType]],
-              kernel: Callable[[pa.Table], list[dict]]) -> DataFrame:
+              kernel: Kernel) -> DataFrame:
     """Run ``kernel`` on each group as an Arrow table; it returns rows without the keys."""
     schema = T.StructType(key_fields(df, keys) + [T.StructField(*field) for field in fields])
-    names = [name for name, _ in fields]
+    build = _row_builder(schema, keys)
 
     def run(group: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        rows = kernel(group)
-        types = to_arrow_schema(schema)
-        repeated = group.select(keys).take(pa.array([0] * len(rows), pa.int64()))
-        columns = [pa.chunked_array(repeated[key]).cast(types.field(key).type) for key in keys]
-        columns += [pa.array([row[name] for row in rows], types.field(name).type)
-                    for name in names]
-        return pa.table(columns, schema=types)
+        name = tuple(group[key][0].as_py() for key in keys)
+        return pa.Table.from_batches([build([(name, row) for row in kernel(group)])])
 
     return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def per_small_group(df: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType]],
+                    kernel: Kernel) -> DataFrame:
+    """The same for many groups of a few rows each, which share batches on the way to Python.
+
+    A group must fit in memory, as it must for :func:`per_group`.
+    """
+    schema = T.StructType(key_fields(df, keys) + [T.StructField(*field) for field in fields])
+    build = _row_builder(schema, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            done = []
+            for name, part in runs_of_groups(batch, keys):
+                if held and name != current:
+                    done += [(current, row) for row in kernel(pa.concat_tables(held))]
+                    held = []
+                current = name
+                held.append(pa.Table.from_batches([part]))
+            yield build(done)
+        if held:
+            yield build([(current, row) for row in kernel(pa.concat_tables(held))])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def runs_of_groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:
+    """The stretches of a batch with equal keys, each with its key."""
+    names = list(zip(*[batch[key].to_pylist() for key in keys]))
+    edges = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+    for start, end in zip([0, *edges], [*edges, len(names)]):
+        if start < end:
+            yield names[start], batch.slice(start, end - start)
+
+
+def _row_builder(schema: T.StructType, keys: list[str]) -> Callable[[list], pa.RecordBatch]:
+    types = to_arrow_schema(schema)
+
+    def build(rows: list[tuple[tuple, dict]]) -> pa.RecordBatch:
+        columns = [pa.array([name[i] for name, _ in rows], types.field(key).type)
+                   for i, key in enumerate(keys)]
+        columns += [pa.array([row[field.name] for _, row in rows], field.type)
+                    for field in list(types)[len(keys):]]
+        return pa.RecordBatch.from_arrays(columns, schema=types)
+
+    return build

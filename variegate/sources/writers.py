@@ -18,6 +18,19 @@ def write_embeddings(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     _write_parquet(df, path, mode)
 
 
+def with_run(df: DataFrame, env: str, generation_model: str, embedding_model: str | None = None,
+             answer_only: bool = False) -> DataFrame:
+    """Add the columns that say which run the rows belong to; writers partition by them."""
+    return df.withColumns({
+        "env": F.lit(env), "embedding_model": F.lit(embedding_model).cast("string"),
+        "generation_model": F.lit(generation_model), "answer_only": F.lit(answer_only)})
+
+
+def append_attempt_log(df: DataFrame, path: str) -> None:
+    """Add the attempts of a round to the log."""
+    _write_parquet(df, path, "append")
+
+
 def write_scores(df: DataFrame, path: str, format: str = "csv",
                  mode: str = "errorifexists") -> None:
     if format == "csv":
