@@ -1,6 +1,8 @@
 """Every query against SQL where there is some, else against a loop over the same data."""
 
 import gzip
+import subprocess
+import sys
 from itertools import combinations
 from pathlib import Path
 
@@ -8,7 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DATA
+from conftest import DATA, ROOT
 from test_diversity import by_definition
 
 import __spark_entry__
@@ -112,3 +114,17 @@ def test_entry(spark):
     assert {"score", "rating", "zero_order_rho", "partial_rho", "n_used"} <= set(df.columns)
     assert df.count() == 12
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_from_another_folder(tmp_path):
+    """Tasks that run Python code need no copy of the package."""
+    code = (f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "import __spark_entry__ as entry\n"
+            "spark = SparkSession.builder.master('local[2]').getOrCreate()\n"
+            f"for name in ('diversity_by_label', 'compression_distance_documents'):\n"
+            f"    print(name, entry.queries()[name](spark, {DATA!r}).count())\n")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, text=True,
+                          capture_output=True, timeout=300)
+    assert "diversity_by_label 10" in done.stdout, done.stderr
+    assert "compression_distance_documents 200" in done.stdout, done.stderr

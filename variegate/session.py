@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors; in local mode they have it already."""
-    if spark.sparkContext.master.startswith("local"):
-        return
-    source = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/variegate", "zip", source.parent,
-                                  source.name)
-    spark.sparkContext.addPyFile(archive)
