@@ -43,13 +43,9 @@ def average_ranks(df: DataFrame, value: str, by: list[str], counted: dict[str, C
     each bucket, then over the buckets' totals. No task sees all values of a group, and the
     result does not depend on where the cuts lie.
     """
-    bucket = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(float(cut)) for cut in cuts])
-        bucket = F.size(F.filter(edges, lambda edge: edge < F.col(value)))
     histogram = df.groupBy(*by, value).agg(*[
         F.count(F.when(rows, 1)).alias(name) for name, rows in counted.items()]) \
-        .withColumn("__bucket", bucket)
+        .withColumn("__bucket", _cuts_below(F.col(value), cuts))
     totals = histogram.groupBy(*by, "__bucket").agg(*[
         F.sum(name).alias(f"__{name}") for name in counted])
     over_buckets = Window.partitionBy(*by).orderBy("__bucket") \
@@ -65,6 +61,20 @@ def average_ranks(df: DataFrame, value: str, by: list[str], counted: dict[str, C
         (F.col(name) + F.col(f"__{name}")).alias(name) for name in counted])
 
 
+def _cuts_below(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are below the value, by halving steps."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*[F.lit(float(cut)) for cut in cuts])
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def advance(below: Column, step: Column) -> Column:
+        reached = (below + step <= len(cuts)) & (F.get(edges, below + step - 1) < value)
+        return F.when(reached, below + step).otherwise(below)
+
+    return F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), advance)
+
+
 def with_ranks(df: DataFrame, values: list[str], by: list[str],
                counted: dict[str, Column]) -> DataFrame:
     """Attach ``{name}_{value}``, the average rank of each value among the rows of ``name``."""
