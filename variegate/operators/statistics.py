@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,24 +73,28 @@ def _cuts_below(value: Column, cuts: list[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), advance)
 
 
-def with_ranks(df: DataFrame, values: list[str], by: list[str],
-               counted: dict[str, Column]) -> DataFrame:
-    """Attach ``{name}_{value}``, the average rank of each value among the rows of ``name``."""
+def with_ranks(df: DataFrame, by: list[str],
+               counted: dict[str, dict[str, Column]]) -> DataFrame:
+    """For each value, attach its average ranks as ``{name}_{value}``.
+
+    ``counted`` names, for each value, the sets of rows among which it is ranked.
+    """
+    values = list(counted)
     n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fractions = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.approxQuantile(values, fractions, 0.01) if fractions else [[] for _ in values]
     ranked = df
-    for value, found in zip(values, cuts):
+    for (value, sets), found in zip(counted.items(), cuts):
         present = df.where(F.col(value).isNotNull())
-        table = average_ranks(present, value, by, counted, sorted(set(found))) \
-            .withColumnsRenamed({name: f"{name}_{value}" for name in counted})
+        table = average_ranks(present, value, by, sets, sorted(set(found))) \
+            .withColumnsRenamed({name: f"{name}_{value}" for name in sets})
         ranked = null_safe_join(ranked, table, [*by, value], "left")
     return ranked
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """``n, n_used, rho, p`` per group over the rows that hold both values."""
-    return _correlations(_numbers(df, [x, y], by or []), x, y, None, by or []).select(
+    return _correlations(df, [(x, y)], None, by or []).select(
         *(by or []), "n", F.col("n_plain").alias("n_used"), F.col("plain_rho").alias("rho"),
         correlation_p(F.col("plain_rho"), F.col("n_plain") - 2).alias("p"))
 
@@ -100,7 +102,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
 def partial_spearman(df: DataFrame, x: str, y: str, covariate: str,
                      by: list[str] | None = None) -> DataFrame:
     """``n, n_used, rho, p`` controlled for one covariate, over rows that hold all three."""
-    return _correlations(_numbers(df, [x, y, covariate], by or []), x, y, covariate, by or []).select(
+    return _correlations(df, [(x, y)], covariate, by or []).select(
         *(by or []), "n", F.col("n_partial").alias("n_used"), F.col("partial_rho").alias("rho"),
         correlation_p(F.col("partial_rho"), F.col("n_partial") - 3).alias("p"))
 
@@ -109,21 +111,12 @@ def correlation_report(df: DataFrame, scores: list[str], ratings: list[str] | No
                        covariate: str = "answer_length",
                        by: list[str] | None = None) -> DataFrame:
     """Both correlations of every score with every rating, and the change between them."""
-    by = by or []
-    ratings = ratings or ["flexibility"]
-    rows = _numbers(df, [*scores, *ratings, covariate], by)
-    reports = [_report(rows, score, rating, covariate, by)
-               for score in scores for rating in ratings]
-    return reduce(DataFrame.unionByName, reports)
-
-
-def _report(df: DataFrame, score: str, rating: str, covariate: str,
-            by: list[str]) -> DataFrame:
+    pairs = [(rating, score) for score in scores for rating in ratings or ["flexibility"]]
     plain, partial = F.col("plain_rho"), F.col("partial_rho")
     change = partial - plain
     percent = F.when(plain == 0, 0.0).otherwise(F.try_divide(change, F.abs(plain)) * 100)
-    return _correlations(df, rating, score, covariate, by).select(
-        *by, F.lit(score).alias("score"), F.lit(rating).alias("rating"),
+    return _correlations(df, pairs, covariate, by or []).select(
+        *(by or []), F.col("y").alias("score"), F.col("x").alias("rating"),
         plain.alias("zero_order_rho"),
         correlation_p(plain, F.col("n_plain") - 2).alias("zero_order_p"),
         partial.alias("partial_rho"),
@@ -139,35 +132,45 @@ def display_report(report: DataFrame) -> DataFrame:
         for name, kind in report.dtypes])
 
 
-def _numbers(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
-    """The columns as doubles, NaN as null, written once as several passes follow."""
-    return cut_lineage(df.select(*by, *[
-        F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values]))
+def _correlations(df: DataFrame, pairs: list[tuple[str, str]], z: str | None,
+                  by: list[str]) -> DataFrame:
+    """``by, x, y, n, n_plain, plain_rho, n_partial, partial_rho``: all pairs in one pass.
 
-
-def _correlations(df: DataFrame, x: str, y: str, z: str | None, by: list[str]) -> DataFrame:
-    values = [x, y] if z is None else [x, y, z]
-    counted = {"plain": F.col(x).isNotNull() & F.col(y).isNotNull()}
-    if z is not None:
-        counted["partial"] = counted["plain"] & F.col(z).isNotNull()
-    ranked = with_ranks(df, values, by, counted)
-
-    def rho(name: str, a: str, b: str) -> Column:
-        first = F.when(counted[name], F.col(f"{name}_{a}"))
-        second = F.when(counted[name], F.col(f"{name}_{b}"))
-        spread = F.stddev_pop(first) * F.stddev_pop(second)
-        return F.try_divide(F.covar_pop(first, second), spread)
-
-    sums = [F.count(F.lit(1)).alias("n"),
-            F.count(F.when(counted["plain"], 1)).alias("n_plain"),
-            rho("plain", x, y).alias("plain_rho")]
-    if z is not None:
-        sums += [F.count(F.when(counted["partial"], 1)).alias("n_partial"),
-                 rho("partial", x, y).alias("xy"), rho("partial", x, z).alias("xz"),
-                 rho("partial", y, z).alias("yz")]
-    grouped = ranked.groupBy(*by).agg(*sums)
+    Every value is ranked once, among the rows of each pair that it belongs to.
+    """
+    values = list(dict.fromkeys([v for pair in pairs for v in pair] + ([z] if z else [])))
+    # Written once, with NaN as null, as several passes follow.
+    rows = cut_lineage(df.select(*by, *[
+        F.nullif(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values]))
+    counted: dict[str, dict[str, Column]] = {v: {} for v in values}
+    found = []
+    for i, (x, y) in enumerate(pairs):
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        for v in (x, y):
+            counted[v][f"plain_{i}"] = both
+        rho = [F.count(F.when(both, 1)).alias("n_plain"),
+               _rank_correlation(f"plain_{i}", both, x, y).alias("plain_rho")]
+        if z is not None:
+            every = both & F.col(z).isNotNull()
+            for v in (x, y, z):
+                counted[v][f"partial_{i}"] = every
+            rho += [F.count(F.when(every, 1)).alias("n_partial"), *[
+                _rank_correlation(f"partial_{i}", every, a, b).alias(name)
+                for name, a, b in (("xy", x, y), ("xz", x, z), ("yz", y, z))]]
+        found.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *rho))
+    grouped = with_ranks(rows, by, counted).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*found).alias("pairs"))
+    result = grouped.select(*by, "n", F.inline("pairs"))
     if z is None:
-        return grouped
+        return result
     left = F.greatest((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2), F.lit(0.0))
     partial = F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt(left))
-    return grouped.withColumn("partial_rho", partial)
+    return result.withColumn("partial_rho", partial)
+
+
+def _rank_correlation(name: str, among: Column, a: str, b: str) -> Column:
+    """Correlation of two columns of ranks; null if one of them is constant."""
+    first = F.when(among, F.col(f"{name}_{a}"))
+    second = F.when(among, F.col(f"{name}_{b}"))
+    spread = F.stddev_pop(first) * F.stddev_pop(second)
+    return F.try_divide(F.covar_pop(first, second), spread)
