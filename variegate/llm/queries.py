@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variegate.llm import decontamination, sharding, simhash, url_filter
-from variegate.llm.common import table
+from variegate.llm import (decontamination, html_text, language, lattice, pieces, quality, sharding,
+                           simhash, url_filter)
+from variegate.llm.common import fold, table
 
 # The rules of the query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -14,11 +15,32 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
 # Hosts whose URLs make up the list of the query: a label with one of these words.
 LISTED_HOSTS = r"(^|\.)[^.]*(casino|pills|bets|ads-track)[^.]*\."
 
+# The public vocabulary of the language model and the pieces; only the driver reads the file.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return quality.score_quality(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.CUT).cast("int").alias("predicted"))
+
 
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out), lattice.read_vocabulary(VOCABULARY))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.mark_contamination(
         table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -36,6 +58,26 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, byte pieces and a digest of the ids of every text, and whether it decodes to itself."""
+    vocabulary = lattice.read_vocabulary(VOCABULARY)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    low, high = int(vocabulary["byte_ids"].min()), int(vocabulary["byte_ids"].max())
+    return rows.select(
+        "doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        pieces.fallbacks(F.col("piece_ids"), low, high).alias("n_byte_pieces"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_text.extract(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)) \
@@ -45,7 +87,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_pivots, op5_decontamination, op7_kd_sharding, op10_url_filter)}
+    op1_bradley_terry, op2_simhash_pivots, op4_language, op5_decontamination, op7_kd_sharding,
+    op8_sentence_pieces, op9_site_templates, op10_url_filter)}
 
 ORACLES = {
     "op5_decontamination": r"""

@@ -17,7 +17,7 @@ from variegate.llm.common import numbered, written
 BINS = 1024
 FINE_BINS = 4096
 # Copies of a text stay together, unless their bytes are over this part of a shard's.
-GROUP_PART = 1 / 64
+GROUP_PART = 1 / 32
 
 DIMENSIONS = ["lang", "source", "length", "position"]
 
