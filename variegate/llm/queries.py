@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variegate.llm import (decontamination, html_text, language, lattice, pieces, quality, sharding,
-                           simhash, url_filter)
+                           simhash, suffixes, url_filter)
 from variegate.llm.common import fold, table
 
 # The rules of the query.
@@ -51,6 +51,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffixes.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return sharding.kd_shards(docs, 16).select(
@@ -87,7 +93,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bradley_terry, op2_simhash_pivots, op4_language, op5_decontamination, op7_kd_sharding,
+    op1_bradley_terry, op2_simhash_pivots, op4_language, op5_decontamination, op6_suffix_arrays, op7_kd_sharding,
     op8_sentence_pieces, op9_site_templates, op10_url_filter)}
 
 ORACLES = {
