@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variegate.llm import (decontamination, html_text, language, lattice, pieces, quality, sharding,
-                           simhash, suffixes, url_filter)
+from variegate.llm import (decontamination, html_text, language, lattice, neighbours, pieces, quality,
+                           sharding, simhash, suffixes, url_filter)
 from variegate.llm.common import fold, table
 
 # The rules of the query.
@@ -33,6 +33,11 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -93,7 +98,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bradley_terry, op2_simhash_pivots, op4_language, op5_decontamination, op6_suffix_arrays, op7_kd_sharding,
+    op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination, op6_suffix_arrays, op7_kd_sharding,
     op8_sentence_pieces, op9_site_templates, op10_url_filter)}
 
 ORACLES = {

@@ -185,6 +185,24 @@ def _merged(roots: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
             roots = roots[roots]
 
 
+def _with_components(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``doc_id, __hash`` (of the text), ``__fp`` and ``__least``, the first row of the component.
+
+    The first row is the one of the smallest id, nulls last, and among these of the smallest hash.
+    """
+    keys = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("__hash"),
+                       F.col(text).alias("text"))
+    found = written(with_fingerprints(keys, ["doc_id", "__hash"]))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__hash")
+    prints = written(found.groupBy("__fp").agg(F.min(place).alias("__own")))
+    links = written(linked_pairs(prints.select("__fp")))
+    roots = connected(links).withColumnRenamed("node", "__fp")
+    rooted = prints.join(roots, "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
+    least = rooted.groupBy("root").agg(F.min("__own").alias("__least"))
+    named = rooted.join(least, "root").select(F.col("__fp").alias("__of"), "__least")
+    return found.join(named, F.col("__fp") == F.col("__of")).drop("__of")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
@@ -194,16 +212,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     null. Rows are kept as they are. Fingerprints are made unique before pairs are looked for, so
     copies cost nothing; other columns of ``docs`` are not read.
     """
-    rows = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), text), ["doc_id"], text)
-    found = written(rows)
-    prints = written(found.groupBy("__fp").agg(F.min("doc_id").alias("__least")))
-    links = written(linked_pairs(prints.select("__fp")))
-    roots = connected(links).withColumnRenamed("node", "__fp")
-    rooted = prints.join(roots, "__fp", "left") \
-        .withColumn("root", F.coalesce("root", "__fp"))
-    ids = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    # only fingerprints whose component has an id smaller than their own need looking up
-    named = rooted.join(ids, "root").select(F.col("__fp").alias("__of"), "component_id")
     printed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
-    return found.join(named, F.col("__fp") == F.col("__of")) \
-        .select("doc_id", printed.alias("fingerprint"), "component_id")
+    return _with_components(docs, text, doc_id).select(
+        "doc_id", printed.alias("fingerprint"), F.col("__least.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component: that of the smallest id.
+
+    Of several rows with this id the one with the smallest hash of its text stays; of rows that
+    are equal in both, one. Null ids come last. The texts are only shuffled if the list of what
+    goes is not counted to be short.
+    """
+    placed = written(_with_components(docs, text, doc_id))
+    stays = F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) \
+        & F.col("__hash").eqNullSafe(F.col("__least.__hash"))
+    names = [F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")]
+    gone = written(placed.where(~stays).select(*names).distinct())
+    again = written(placed.where(stays).groupBy(*names).count().where(F.col("count") > 1))
+    rows = docs.withColumn("__h", F.xxhash64(text))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__text"))
+    left = rows.join(checked_broadcast(gone), same, "left_anti")
+    if again.limit(1).count():
+        side = checked_broadcast(again.select("__id", "__text"))
+        single = left.join(side, same, "left_semi").dropDuplicates([doc_id, "__h"])
+        left = left.join(side, same, "left_anti").unionByName(single)
+    return left.drop("__h")

@@ -18,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -433,6 +434,15 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.mapInArrow(_cutter(text), schema)
 
 
+def readable(kept: Column) -> Column:
+    """What remains as a string, without the halves of characters that a cut has left."""
+    @F.pandas_udf("string")
+    def read(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: None if p is None else bytes(p).decode("utf-8", "ignore"))
+
+    return read(kept)
+
+
 def covered(ranges: list[dict], n_bytes: int, copied: bool) -> list[tuple[int, int]]:
     """Maximal runs of bytes within strings that start in any of the ranges."""
     if copied:
