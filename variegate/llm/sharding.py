@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variegate.llm.common import numbered, written
+from variegate.llm.common import checked_broadcast, numbered, written
 
 BINS = 1024
 FINE_BINS = 4096
@@ -27,7 +27,7 @@ def _unit(column: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def metadata(docs: DataFrame, n_shards: int) -> DataFrame:
+def metadata(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32``, a point in the unit cube, and the order of ties.
 
     Language and source become hashed places, length is logarithmic, and the position is the
@@ -46,19 +46,21 @@ def metadata(docs: DataFrame, n_shards: int) -> DataFrame:
     return written(rows.withColumn("__row", F.monotonically_increasing_id()))
 
 
-def _tie(rows: DataFrame, target: float) -> DataFrame:
-    """Give each row its place among equal coordinates: its text's, or its own in a hot group."""
-    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("bytes"))
-    # At most total / (target * GROUP_PART) groups are this large: a number set by n_shards.
-    hot = F.broadcast(groups.where(F.col("bytes") > target * GROUP_PART)
-                      .select(F.col("text_hash").alias("__hot")))
-    joined = rows.join(hot, F.col("text_hash") == F.col("__hot"), "left")
-    own = F.col("__hot").isNotNull()
-    return joined.withColumn("tie", F.when(own, _unit(F.col("__row"), 5))
-                             .otherwise(_unit(F.col("text_hash"), 5))) \
-        .withColumn("position", F.when(own, _unit(F.col("__row"), 6))
-                    .otherwise(F.col("position"))) \
-        .drop("__hot")
+def _grouped(rows: DataFrame, target: float) -> DataFrame:
+    """Give copies of a text one point and one place among ties; in a hot group, each its own."""
+    groups = written(rows.groupBy("text_hash").agg(
+        F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"),
+        F.min("lang").alias("group_lang"), F.min("source").alias("group_source"))
+        .where(F.col("copies") > 1).withColumnRenamed("text_hash", "group_hash").drop("copies"))
+    joined = rows.join(checked_broadcast(groups), F.col("text_hash") == F.col("group_hash"), "left")
+    hot = F.coalesce(F.col("bytes") > target * GROUP_PART, F.lit(False))
+    alone = hot | F.col("group_hash").isNull()
+    return joined.select(
+        "doc_id", "size", "text_crc32", "length",
+        F.when(alone, F.col("lang")).otherwise(F.col("group_lang")).alias("lang"),
+        F.when(alone, F.col("source")).otherwise(F.col("group_source")).alias("source"),
+        F.when(hot, _unit(F.col("__row"), 6)).otherwise(F.col("position")).alias("position"),
+        F.when(hot, _unit(F.col("__row"), 5)).otherwise(_unit(F.col("text_hash"), 5)).alias("tie"))
 
 
 def _choose(by_node: dict, default: Column) -> Column:
@@ -79,9 +81,9 @@ def kd_shards(docs: DataFrame, n_shards: int) -> DataFrame:
     """
     if n_shards < 1:
         raise ValueError(f"n_shards must be at least 1, not {n_shards}")
-    points = metadata(docs, n_shards)
+    points = metadata(docs)
     total = points.agg(F.sum("size")).first()[0] or 0
-    rows = _tie(points, total / n_shards).withColumn("node", F.lit(0))
+    rows = _grouped(points, total / n_shards).withColumn("node", F.lit(0))
     nodes = {0: (0, n_shards)}  # node: its first shard and how many it becomes
     while any(count > 1 for _, count in nodes.values()):
         rows = written(rows)
