@@ -31,6 +31,18 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that a result is about to be named after."""
+    return df.drop(*[c for c in df.columns if c in names])
+
+
+def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its other columns renamed out of the way, and what brings the names back."""
+    names = [c if c in needed else f"__x{i}" for i, c in enumerate(df.columns)]
+    return (df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)]),
+            [F.col(n).alias(c) for c, n in zip(df.columns, names)])
+
+
 def numbered(df: DataFrame, shard: str, slot: str) -> DataFrame:
     """Number the rows of each shard without gaps from 0, in no task more than one partition.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
-from variegate.llm.common import written
+from variegate.llm.common import without, written
 
 LETTER = regex.compile(r"\p{L}")
 SAMPLE = 1500  # documents of each language that a model is fitted on
@@ -137,8 +137,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     A text that is null, empty or without a letter is ``und`` with score 0, and so is every text
     for a model of no language. Texts with letters but no word known to any language are judged
     by their bytes. Of equal languages the first by name is taken. Rows are kept as they are.
-    The model is broadcast: its size is that of the vocabulary times the languages.
+    The model is broadcast: its size is that of the vocabulary times the languages. Columns of
+    ``docs`` that are named like these are replaced.
     """
+    docs = without(docs, "lang_pred", "lang_score")
     sent = docs.sparkSession.sparkContext.broadcast(
         (model.vocabulary, model.languages, model.chances))
     schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema

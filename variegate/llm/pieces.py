@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
+from variegate.llm.common import without
 
 # Blanks with the word after them; a line feed is a word of its own.
 WORD = re.compile(rb"\xff+[^\xff\n]*|[^\xff\n]+|\n")
@@ -32,8 +33,9 @@ def encode(docs: DataFrame, vocabulary: dict, text: str = "text") -> DataFrame:
 
     Null for a null text; an empty text has no pieces. Any string decodes to itself, the
     marker's own character and control characters included. Rows are kept as they are. The
-    trie is broadcast: its size is that of the vocabulary.
+    trie is broadcast: its size is that of the vocabulary. A column ``piece_ids`` is replaced.
     """
+    docs = without(docs, "piece_ids")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = docs.withColumn("piece_ids", F.lit(None).cast("array<int>")).schema
 
@@ -85,8 +87,9 @@ def decode(rows: DataFrame, vocabulary: dict, ids: str = "piece_ids") -> DataFra
     """``rows`` with ``decoded string``: byte pieces as bytes, markers as blanks, without the first.
 
     Null for null ids, empty for none. Ids that the vocabulary does not hold raise an error;
-    bytes that are no UTF-8 become the replacement character.
+    bytes that are no UTF-8 become the replacement character. A column ``decoded`` is replaced.
     """
+    rows = without(rows, "decoded")
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary["names"])
     schema = rows.withColumn("decoded", F.lit("")).schema
 
