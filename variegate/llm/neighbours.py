@@ -22,7 +22,7 @@ from variegate.llm.common import checked_broadcast, written
 
 TABLES = 4
 WIDTH = 1.44  # of a cell; a projection of a unit vector has standard deviation 1
-FIRST_ROWS = 4000  # rows for which four projections are enough; three times as many need one more
+FIRST_ROWS = 100_000  # for which four projections are enough; three times as many need one more
 SAMPLE = 4000  # vectors that the number of probes is fitted on
 SAMPLE_QUERIES = 300
 RECALL = 0.985  # of the sample's neighbours, that the fitted number of probes finds
@@ -83,7 +83,7 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def projections_for(rows: int) -> int:
     """Four for few rows, one more for every threefold, up to eight."""
-    return int(min(8, 4 + max(0, np.ceil(np.log(max(rows, 1) / FIRST_ROWS / 27) / np.log(3)))))
+    return int(min(8, 4 + max(0, np.ceil(np.log(max(rows, 1) / FIRST_ROWS) / np.log(3)))))
 
 
 def fitted_probes(tables: Tables, sample: np.ndarray, k: int, goal: float = RECALL) -> int:

@@ -91,7 +91,7 @@ def decode(rows: DataFrame, vocabulary: dict, ids: str = "piece_ids") -> DataFra
     """
     rows = without(rows, "decoded")
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary["names"])
-    schema = rows.withColumn("decoded", F.lit("")).schema
+    schema = rows.withColumn("decoded", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value], object)
