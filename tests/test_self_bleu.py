@@ -68,7 +68,7 @@ def test_registry(spark):
     df = frame(spark, {"a": ["x y", "x y"]})
     row = score(df, ["k"], "self_bleu", 2).first()
     assert (row["method"], row["arg_n"], row["score"]) == ("self_bleu", 2, pytest.approx(1))
-    with pytest.raises(ValueError, match="Unknown scoring method: x"):
+    with pytest.raises(ValueError, match="no scoring method is named x"):
         score(df, ["k"], "x")
     with pytest.raises(ValueError, match="arg_n is required"):
         score(df, ["k"], "self_bleu")
@@ -80,3 +80,40 @@ def test_registry(spark):
 
     register_scorer("longest", longest)
     assert score(df, ["k"], "longest").first()["score"] == 3.0
+
+
+def test_ways_agree(spark):
+    """Groups counted in one place, and by n-gram."""
+    rng = np.random.default_rng(5)
+    groups = {k: [" ".join(rng.choice(list("abcd"), rng.integers(0, 12))) for _ in range(n)]
+              for k, n in (("x", 30), ("y", 3), ("z", 1))}
+    df = frame(spark, groups)
+    one = {r["k"]: r["score"] for r in self_bleu(df, ["k"]).collect()}
+    other = {r["k"]: r["score"] for r in self_bleu(df, ["k"], small=2).collect()}
+    assert one.keys() == other.keys() == groups.keys()
+    for k in groups:
+        assert one[k] == pytest.approx(other[k], abs=1e-12)
+
+
+@pytest.mark.parametrize("small", [1, 2000])
+def test_repeated_position(spark, small):
+    for second in ("a b", "a b c"):
+        df = spark.createDataFrame([("k", 0, "a b"), ("k", 0, second)],
+                                   "k string, answer_idx int, answer string")
+        with pytest.raises(Exception, match="two answers at position 0"):
+            self_bleu(df, ["k"], small=small).collect()
+
+
+def test_null_key_with_queries(spark):
+    df = spark.createDataFrame([(None, 0, "a b c d"), (None, 1, "a b c e"), ("k", 0, "x")],
+                               "k string, answer_idx int, answer string")
+    plain = {r["k"]: r["score"] for r in self_bleu(df, ["k"]).collect()}
+    listed = {r["k"]: r["score"] for r in self_bleu(df, ["k"], queries=df).collect()}
+    assert plain == listed and plain[None] > 0
+
+
+def test_tokens_with_blanks(spark):
+    from pyspark.sql import functions as F
+    df = frame(spark, {"k": ["a b,c", "a,b c"]})
+    found = self_bleu(df, ["k"], max_n=2, tokenizer=lambda text: F.split(text, ","))
+    assert found.first()["score"] == 0.0  # no token is shared

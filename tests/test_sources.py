@@ -118,6 +118,38 @@ def test_scores(spark, tmp_path):
         (0, 1, "ncd", None, 0.5)]
     writers.write_scores(df, str(tmp_path / "parquet"), format="parquet")
     assert (tmp_path / "parquet" / "method=ncd").is_dir()
+    again = readers.read_scores(spark, str(tmp_path / "parquet")).collect()
+    assert [tuple(r) for r in again] == [(0, 1, "ncd", None, 0.5)]
+
+
+def test_csv_by_name(spark, tmp_path):
+    path = tmp_path / "ratings.csv"
+    path.write_text("fluency,flexibility,originality,elaboration,overall,custom_id,note\n"
+                    "1,2,3,4,5,cp-0,x\n")
+    row = readers.read_ratings(spark, str(path)).first()
+    assert tuple(row) == ("cp-0", 1.0, 2.0, 3.0, 4.0, 5.0)
+    (tmp_path / "scores.csv").write_text("score,method\n0.5,ncd\n")
+    with pytest.raises(ValueError, match="columns missing"):
+        readers.read_scores(spark, str(tmp_path / "scores.csv"))
+    (tmp_path / "bad.csv").write_text("task_idx,query_idx,method,arg_n,score\n0,0,ncd,,high\n")
+    with pytest.raises(Exception):
+        readers.read_scores(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_broken_and_colliding_documents(spark, tmp_path):
+    for name, text in (("cut", '[{"task_name": "a", "task_li'), ("other", '{"a": [1'), ("empty", "")):
+        file = tmp_path / f"{name}.json"
+        file.write_text(text)
+        with pytest.raises(Exception):
+            readers.read_tasks(spark, str(file)).collect()
+        with pytest.raises(Exception):
+            readers.read_answers(spark, str(file)).collect()
+    both = tmp_path / "both.json"
+    both.mkdir()
+    for name in "ab":
+        (both / f"{name}.json").write_text('[[["x"]]]')
+    with pytest.raises(ValueError, match="collide"):
+        readers.read_answers(spark, str(both))
 
 
 def test_ledger(spark, tmp_path):

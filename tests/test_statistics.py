@@ -128,3 +128,10 @@ def test_mean_ci(spark):
 def test_display(spark):
     df = spark.createDataFrame([("a", 0.123456)], "k string, v double")
     assert display_report(df).first()["v"] == 0.1235
+
+
+def test_tail_at_many_degrees_of_freedom():
+    from variegate.functions.significance import beta_tail
+    n = 1e10
+    x = 1 - (2 / (n + 4) ** 0.5) ** 2
+    assert beta_tail(n / 2, 0.5, x) == pytest.approx(0.0455002639, abs=1e-7)

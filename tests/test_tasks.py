@@ -60,14 +60,21 @@ def test_judge_prompts(given):
     assert (rows[0]["n_answers"], rows[1]["n_answers"]) == (2, 0)
 
 
-def test_large_prompts_come_in_parts(given):
-    asked, answers = given
-    rows = {r["query_idx"]: r for r in tasks.judge_prompts(asked, answers, limit=1).collect()}
-    assert rows[0]["prompt"] is None and rows[0]["n_answers"] == 2
-    assert rows[1]["prompt"] is not None
-    parts = tasks.judge_prompt_parts(asked, answers).where("query_idx = 0").orderBy("part")
-    whole = "".join(r["text"] for r in parts.collect())
-    assert whole == "Question: Find problems: party\nAnswer: 1. cake 2. noise"
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_parts_make_up_the_prompts(spark, given, block):
+    """With gaps in the positions, a null among the answers and a query without any."""
+    asked, _ = given
+    answers = spark.createDataFrame(
+        [(0, 0, 7, "late"), (0, 0, 2, "first"), (0, 0, 3, None), (0, 0, 5000, "last")],
+        "task_idx int, query_idx int, answer_idx int, answer string")
+    prompts = {r["query_idx"]: r for r in tasks.judge_prompts(asked, answers).collect()}
+    assert prompts[0]["prompt"].endswith("Answer: 1. first 2. late 3. last")
+    assert prompts[1]["n_answers"] == 0
+    found = {}
+    for row in tasks.judge_prompt_parts(asked, answers, block).orderBy("part").collect():
+        found[row["query_idx"]] = found.get(row["query_idx"], "") + row["text"]
+    assert found == {k: r["prompt"] for k, r in prompts.items()}
+    assert tasks.rating_requests(tasks.judge_prompts(asked, answers), "gpt-4.1").count() == len(found)
 
 
 @pytest.mark.parametrize("model", ["gpt-4-0613", "gpt-4.1"])
@@ -121,13 +128,26 @@ def test_counts_and_lengths(given):
     assert lengths == {0: 1.0, 1: None}
 
 
-def test_nest(given):
+def test_nest(spark, given):
     _, answers = given
-    rows = {(r["query_idx"], r["part"]): r["items"] for r in tasks.nest(answers, "answer").collect()}
-    assert rows == {(0, 0): ["cake", "noise"], (1, 0): []}
+    rows = {r["query_idx"]: r["items"] for r in tasks.nest(answers, "answer").collect()}
+    assert rows == {0: ["cake", "noise"], 1: []}
     sliced = tasks.nest(answers, "answer", slice_size=1).collect()
     assert {(r["query_idx"], r["part"]): r["items"] for r in sliced} == {
         (0, 0): ["cake"], (0, 1): ["noise"], (1, 0): []}
+    far = spark.createDataFrame([(0, 0, i, str(i)) for i in (0, 5000, 10000)],
+                                "task_idx int, query_idx int, answer_idx int, answer string")
+    assert [r["items"] for r in tasks.nest(far, "answer").collect()] == [["0", "5000", "10000"]]
+    parts = tasks.nest(far, "answer", slice_size=2).collect()
+    assert {r["part"]: r["items"] for r in parts} == {0: ["0", "5000"], 1: ["10000"]}
+
+
+def test_ratings_by_query(spark, given):
+    asked, _ = given
+    ratings = spark.createDataFrame([("cp-0", 1.0), ("cp-9", 2.0), ("odd", 3.0)],
+                                    "custom_id string, fluency double")
+    found = tasks.ratings_by_query(ratings, asked).collect()
+    assert [tuple(r) for r in found] == [(0, 0, 1.0)]
 
 
 def test_assemble(spark):
@@ -146,7 +166,7 @@ ATTEMPTS = [
                                               "stop"),
     (0, 0, 2, "1. green paper boat", "stop"),
     (0, 1, 0, "1. it is", "stop"), (0, 1, 25, "1. red paper boat", "stop"),
-    (0, 2, 0, "1. red paper boat\n2. it i", "length"),
+    (0, 2, 0, "1. red paper boat\n2. it i", "length"), (0, 4, 30, "1. red paper boat", "stop"),
 ]
 
 
@@ -158,6 +178,7 @@ def test_replies(spark):
     assert chosen[0]["text"] == "1. red paper boat\n2. blue paper boat"
     assert chosen[0]["items"] == ["red paper boat", "blue paper boat"]
     assert chosen[1]["text"] is None and chosen[1]["items"] == []   # the 26th round is too late
+    assert chosen[4]["text"] is None and chosen[4]["items"] == []   # and has no earlier one
     assert chosen[2]["items"] == ["red paper boat", "it i"]         # kept, though cut off
     dropped = replies.select_replies(checked, drop_truncated=True).where("query_idx = 2").first()
     assert dropped["items"] == ["red paper boat"]
@@ -184,10 +205,10 @@ def test_ledger(spark):
     df = spark.createDataFrame(rows, schemas.LEDGER)
     assert ledger.lookup_batch(df, "x.jsonl").first()["batch_id"] == "b0"
     assert ledger.lookup_batch(df, "x.jsonl", "latest").first()["batch_id"] == "b1"
-    with pytest.raises(ValueError, match="Batch ID not found for input file: z"):
+    with pytest.raises(ValueError, match="no entry in the ledger for z"):
         ledger.lookup_batch(df, "z")
     assert [r["batch_id"] for r in ledger.completed_batches(df).collect()] == ["b0"]
-    with pytest.raises(Exception, match="is not completed"):
+    with pytest.raises(Exception, match="is not done"):
         ledger.completed_batches(df, strict=True).collect()
     with pytest.raises(ValueError):
         ledger.pick_batches(df, "any")

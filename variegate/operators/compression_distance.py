@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from variegate.functions.compression import gzip_len, gzip_size
 from variegate.operators.grouping import (SizedGroups, pair_up_blocks, per_group,
-                                          per_small_group, split_by_size)
+                                          per_small_group, scores_of, split_by_size)
 
 # Units of one block, and with it the most answers of a group that one task takes whole.
 BLOCK = 128
@@ -40,10 +40,7 @@ def compression_distance(df: DataFrame, keys: list[str], text: str = "answer",
                                      F.sum("n_pairs").alias("n_pairs")) \
         .select(*keys, F.when(F.col("n_pairs") == 0, 0.0)
                 .otherwise(F.try_divide("total", "n_pairs")).alias("score"))
-    if queries is None:
-        return scores
-    return queries.select(*keys).distinct().join(scores, keys, "left") \
-        .select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
+    return scores if queries is None else scores_of(queries, scores, keys)
 
 
 def _small_sums(rows: DataFrame, keys: list[str]) -> DataFrame:

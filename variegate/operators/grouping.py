@@ -77,6 +77,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
     return left.join(renamed, condition, how).drop(*[f"__{key}" for key in keys])
 
 
+def scores_of(queries: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, score`` for every group listed in ``queries``; 0 for those without a row."""
+    found = scores.withColumn("__found", F.lit(True))
+    return null_safe_join(queries.select(*keys).distinct(), found, keys, "left").select(
+        *keys, F.when(F.col("__found"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
+
+
 def pair_up_blocks(rows: DataFrame, block: Column, n_blocks: Column) -> DataFrame:
     """Send each row to every pair of blocks that holds its own block.
 

@@ -10,7 +10,7 @@ def lookup_batch(ledger: DataFrame, input_file_name: str, pick: str = "first") -
     """The entry of one file, the first by default; an error if there is none."""
     found = pick_batches(ledger.where(F.col("input_file_name") == input_file_name), pick)
     if found.isEmpty():
-        raise ValueError(f"Batch ID not found for input file: {input_file_name}")
+        raise ValueError(f"no entry in the ledger for {input_file_name}")
     return found
 
 
@@ -19,17 +19,22 @@ def pick_batches(ledger: DataFrame, pick: str = "first") -> DataFrame:
     if pick not in ("first", "latest"):
         raise ValueError(f"pick is first or latest, not {pick}")
     choose = F.min_by if pick == "first" else F.max_by
-    entry = choose(F.struct("seq", "batch_id", "input_file_id", "status"), "seq")
+    # two writers at once may give one number to both; the id of the batch then decides
+    entry = choose(F.struct("seq", "batch_id", "input_file_id", "status"),
+                   F.struct("seq", "batch_id"))
     return ledger.groupBy("input_file_name").agg(entry.alias("entry")) \
         .select("input_file_name", "entry.*")
 
 
 def completed_batches(ledger: DataFrame, strict: bool = False) -> DataFrame:
-    """Entries whose batch is done; strict makes any other status an error."""
+    """Entries whose batch is done; strict makes any other status an error.
+
+    Which entry of a file counts is chosen before, by :func:`pick_batches`.
+    """
     done = F.col("status").eqNullSafe(F.lit("completed"))
     if not strict:
         return ledger.where(done)
-    problem = F.raise_error(F.concat(F.lit("Batch "), F.col("batch_id"),
-                                     F.lit(" is not completed. Status: "),
+    problem = F.raise_error(F.concat(F.lit("batch "), F.col("batch_id"),
+                                     F.lit(" is not done, its status is "),
                                      F.coalesce("status", F.lit("unknown"))))
     return ledger.where(F.when(done, True).otherwise(problem.cast("boolean")))

@@ -16,13 +16,16 @@ MAX_ROUNDS = 20
 def check_attempts(attempts: DataFrame, min_items: int | None = None,
                    max_items: int | None = None, min_tokens: int = 3,
                    language: str = "english", max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Attempts within the allowed rounds, with ``items`` and ``ok``."""
+    """Attempts with ``items`` and ``ok``; those outside the allowed rounds are never ok."""
     stop_words(language)
-    parsed = attempts.where((F.col("attempt") >= 0) & (F.col("attempt") < max_rounds)) \
+    in_time = F.coalesce((F.col("attempt") >= 0) & (F.col("attempt") < max_rounds), F.lit(False))
+    parsed = attempts.withColumn("__in_time", in_time) \
         .withColumn("text", strip(F.col("text"))) \
         .withColumn("items", extract_items(F.col("text")))
-    return parsed.withColumn("ok", is_valid_list(
-        F.col("items"), F.col("finish_reason"), min_items, max_items, min_tokens, language))
+    valid = is_valid_list(
+        F.col("items"), F.col("finish_reason"), min_items, max_items, min_tokens, language)
+    return parsed.withColumn("ok", F.col("__in_time") & valid) \
+        .withColumn("in_time", F.col("__in_time")).drop("__in_time")
 
 
 def select_replies(checked: DataFrame, max_items: int | None = None,
@@ -57,8 +60,10 @@ def pending_queries(queries: DataFrame, checked: DataFrame,
 
 
 def attempt_log(checked: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The attempts that were needed: up to the first valid one of each query."""
+    """The attempts that were needed: up to the first valid one of each query, in time."""
     keys = keys or QUERY_KEYS
+    if "in_time" in checked.columns:
+        checked = checked.where("in_time")
     first_ok = F.min(F.when(F.col("ok"), F.col("attempt"))).over(Window.partitionBy(*keys))
     needed = checked.withColumn("__first", first_ok) \
         .where(F.col("__first").isNull() | (F.col("attempt") <= F.col("__first")))

@@ -25,9 +25,9 @@ def score(df: DataFrame, keys: list[str], method: str, arg_n: int | None = None,
           **options) -> DataFrame:
     """``keys, method, arg_n, score``"""
     if method not in _SCORERS:
-        raise ValueError(f"Unknown scoring method: {method}")
+        raise ValueError(f"no scoring method is named {method}")
     if method == "self_bleu" and arg_n is None:
-        raise ValueError("arg_n is required for self_bleu scoring method")
+        raise ValueError("self_bleu needs arg_n, its longest n-gram")
     scores = _SCORERS[method](df, keys, arg_n, **options)
     return scores.select(*keys, F.lit(method).alias("method"),
                          F.lit(arg_n).cast("int").alias("arg_n"), "score")

@@ -14,43 +14,69 @@ from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variegate.functions.words import Tokenizer, word_tokens
+from variegate.functions.words import Tokenizer, whitespace_tokens, word_tokens
+from variegate.operators.grouping import scores_of, split_by_size
 
 # Fixed value: stands for a numerator of zero (smoothing method 1 of Chen and Cherry, 2014).
 EPSILON = 0.1
 
+# Answers of a group that are counted in one task.
+SMALL = 2000
+
 
 def self_bleu(df: DataFrame, keys: list[str], text: str = "answer", order: str = "answer_idx",
               max_n: int = 4, smoothing: bool = True, tokenizer: Tokenizer = word_tokens,
-              queries: DataFrame | None = None) -> DataFrame:
-    """``keys, score``; 0 for groups of fewer than two answers."""
-    answers = answer_precisions(df, keys, text, order, max_n, smoothing, tokenizer)
+              queries: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+    """``keys, score``; 0 for groups of fewer than two answers.
+
+    Two answers of a group at one position are an error. Groups of up to ``small`` answers are
+    brought together once, by their text, and counted where they are; those of larger ones meet
+    by n-gram.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(*keys, order, text)
+    groups = split_by_size(rows, keys, small)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scores = _scores(groups.small.repartition(partitions, *keys), keys, text, order, max_n,
+                     smoothing, tokenizer, counted_occurrences)
+    if groups.large is not None:
+        scores = scores.unionByName(_scores(groups.large.drop("group_size"), keys, text, order,
+                                            max_n, smoothing, tokenizer, occurrences))
+    return scores if queries is None else scores_of(queries, scores, keys)
+
+
+def _scores(rows: DataFrame, keys: list[str], text: str, order: str, max_n: int, smoothing: bool,
+            tokenizer: Tokenizer, count) -> DataFrame:
+    answers = answer_precisions(rows, keys, text, order, max_n, smoothing, tokenizer, count)
     by_length = answers.groupBy(*keys, "length").agg(
         F.sum("precision").alias("precision"), F.count(F.lit(1)).alias("n"))
-    scores = by_length.withColumn("penalty", _brevity_penalty(keys)) \
+    return by_length.withColumn("penalty", _brevity_penalty(keys)) \
         .groupBy(*keys).agg(
             F.sum(F.col("precision") * F.col("penalty")).alias("total"),
             F.sum("n").alias("n")) \
         .select(*keys, F.when(F.col("n") < 2, 0.0)
                 .otherwise(F.col("total") / F.col("n")).alias("score"))
-    if queries is None:
-        return scores
-    return queries.select(*keys).distinct().join(scores, keys, "left") \
-        .select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max_n: int,
-                      smoothing: bool, tokenizer: Tokenizer) -> DataFrame:
+                      smoothing: bool, tokenizer: Tokenizer, count=None) -> DataFrame:
     """``keys, order, length, precision``: the geometric mean of the clipped precisions."""
     answer = [*keys, order]
     tokens = df.where(F.col(text).isNotNull()) \
         .select(*answer, tokenizer(F.lower(text)).alias("tokens"))
-    unshared = occurrences(tokens, answer, order, max_n) \
+    if tokenizer not in (word_tokens, whitespace_tokens):
+        # n-grams are joined by blanks, so no token may hold one
+        tokens = tokens.withColumn("tokens", F.transform(
+            "tokens", lambda token: F.replace(token, F.lit(" "), F.lit("\x1f"))))
+    unshared = (count or occurrences)(tokens, answer, order, max_n) \
         .groupBy(*keys, "n", "gram", "occurrence").agg(
             F.count(F.lit(1)).alias("holders"), F.min(order).alias(order)) \
-        .where(F.col("holders") == 1)
+        .where((F.col("holders") == 1) | (F.col("n") == 0))
+    problem = F.raise_error(F.concat(F.lit("two answers at position "),
+                                     F.col(order).cast("string")))
+    length = F.max(F.when(F.col("n") == 0, F.col("occurrence")))
+    at_place = F.sum(F.when(F.col("n") == 0, F.col("holders")))
     counted = unshared.groupBy(*answer).agg(
-        F.max(F.when(F.col("n") == 0, F.col("occurrence"))).alias("length"),
+        F.when(at_place == 1, length).otherwise(problem.cast("int")).alias("length"),
         *[F.count(F.when(F.col("n") == n, 1)).alias(f"alone_{n}") for n in range(1, max_n + 1)])
 
     logs = F.lit(0.0)
@@ -70,13 +96,9 @@ def answer_precisions(df: DataFrame, keys: list[str], text: str, order: str, max
     return counted.select(*answer, "length", precision.alias("precision"))
 
 
-def occurrences(tokens: DataFrame, answer: list[str], order: str, max_n: int) -> DataFrame:
-    """``answer, n, gram, occurrence`` for every n up to ``max_n``, without a shuffle.
-
-    Within a row, sorted grams stand in runs, and a run of k is numbered 1..k. Tokens hold no
-    space, so grams joined by spaces are as good as lists of tokens. A row with n = 0 is added
-    per answer, named by its position so that no other has it; it carries the answer's length.
-    """
+def _grams(tokens: DataFrame, answer: list[str], order: str, max_n: int) -> DataFrame:
+    """``answer, length, n, grams``. Grams of n = 0 are the answer's position alone: no other
+    answer has it, and it carries the answer's length."""
     columns = ["tokens"]
     for n in range(2, max_n + 1):
         columns.append(f"__grams_{n}")
@@ -84,8 +106,37 @@ def occurrences(tokens: DataFrame, answer: list[str], order: str, max_n: int) ->
     name = F.array(F.col(order).cast("string"))
     of_each = F.array(*[F.struct(F.lit(n).alias("n"), grams.alias("grams")) for n, grams in
                         enumerate([name, *[F.col(column) for column in columns]])])
-    grams = tokens.select(*answer, F.size("tokens").alias("length"), F.inline(of_each)) \
-        .where(F.size("grams") > 0) \
+    return tokens.select(*answer, F.size("tokens").alias("length"), F.inline(of_each)) \
+        .where(F.size("grams") > 0)
+
+
+def _numbered(counted: DataFrame, answer: list[str]) -> DataFrame:
+    """``answer, n, gram, occurrence``: one row for each of the ``times`` of a gram."""
+    first = F.when(F.col("n") == 0, F.col("length")).otherwise(1)
+    last = F.when(F.col("n") == 0, F.col("length")).otherwise(F.col("times"))
+    return counted.select(*answer, "n", "gram",
+                          F.explode(F.sequence(first, last)).alias("occurrence"))
+
+
+def counted_occurrences(tokens: DataFrame, answer: list[str], order: str,
+                        max_n: int) -> DataFrame:
+    """``answer, n, gram, occurrence``, counted by answer; for rows that lie by group already."""
+    spread = _grams(tokens, answer, order, max_n) \
+        .select(*answer, "length", "n", F.explode("grams").alias("gram"))
+    counted = spread.groupBy(*answer, "length", "n", "gram") \
+        .agg(F.count(F.lit(1)).cast("int").alias("times"))
+    # two answers at one position show by their number
+    again = F.when(F.col("n") == 0, F.col("times")).otherwise(1)
+    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), again)))
+    return _numbered(copies, answer)
+
+
+def occurrences(tokens: DataFrame, answer: list[str], order: str, max_n: int) -> DataFrame:
+    """``answer, n, gram, occurrence`` for every n up to ``max_n``, without a shuffle.
+
+    Within a row, sorted grams stand in runs, and a run of k is numbered 1..k.
+    """
+    grams = _grams(tokens, answer, order, max_n) \
         .select(*answer, "length", "n", F.sort_array("grams").alias("grams"))
     gram = F.col("grams")
     starts = F.filter(F.sequence(F.lit(0), F.size(gram) - 1),
@@ -94,11 +145,7 @@ def occurrences(tokens: DataFrame, answer: list[str], order: str, max_n: int) ->
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size(gram)))
     runs = F.zip_with("starts", ends, lambda start, end: F.struct(
         F.get(gram, start).alias("gram"), (end - start).alias("times")))
-    counted = marked.select(*answer, "length", "n", F.inline(runs))
-    first = F.when(F.col("n") == 0, F.col("length")).otherwise(1)
-    last = F.when(F.col("n") == 0, F.col("length")).otherwise(F.col("times"))
-    return counted.select(*answer, "n", "gram",
-                          F.explode(F.sequence(first, last)).alias("occurrence"))
+    return _numbered(marked.select(*answer, "length", "n", F.inline(runs)), answer)
 
 
 def _brevity_penalty(keys: list[str]) -> Column:

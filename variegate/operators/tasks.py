@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variegate.functions.lists import render_numbered
 from variegate.functions.prompts import (chat_messages, contextualized, custom_id,
-                                         embedding_request, judge_question, rating_request)
+                                         embedding_request, judge_question, rating_request,
+                                         split_answer_id, split_query_id)
 from variegate.functions.words import Tokenizer, token_count, word_tokens
-from variegate.operators.grouping import split_by_size
 from variegate.sources.schemas import QUERY_KEYS
 
-# Most answers of a query that are joined into one text.
-PROMPT_ANSWERS = 20_000
-
-# Most elements of one nested row.
-SLICE = 4096
+# Positions of a query that one task numbers.
+BLOCK = 4096
 
 
 def with_task_context(tasks: DataFrame, answers: DataFrame, strict: bool = False) -> DataFrame:
@@ -42,49 +39,84 @@ def contextualize(df: DataFrame, answer_only: bool = False) -> DataFrame:
     return df.withColumn("text", text)
 
 
-def judge_prompts(tasks: DataFrame, answers: DataFrame, strict: bool = False,
-                  limit: int = PROMPT_ANSWERS) -> DataFrame:
-    """One question per query with all its answers, numbered.
+def judge_prompts(tasks: DataFrame, answers: DataFrame, strict: bool = False) -> DataFrame:
+    """One question for every query of ``tasks``, with all its answers, numbered.
 
-    A prompt is one string. Queries above ``limit`` answers are not brought into one row:
-    their prompt is null, and :func:`judge_prompt_parts` gives it in pieces.
+    A query without answers has an empty list, or is an error if ``strict`` and it has no row in
+    ``answers`` at all. A prompt is one string, whatever its length; one that is over Spark's
+    limit for a string fails, and :func:`judge_prompt_parts` gives it in pieces.
     """
-    groups = split_by_size(answers.select(*QUERY_KEYS, "answer_idx", "answer"),
-                           QUERY_KEYS, limit)
     rows = F.sort_array(F.collect_list(F.when(
         F.col("answer").isNotNull(), F.struct("answer_idx", "answer"))))
-    numbered = groups.small.groupBy(*QUERY_KEYS).agg(rows.alias("rows")).select(
+    numbered = answers.groupBy(*QUERY_KEYS).agg(rows.alias("rows")).select(
         *QUERY_KEYS, F.size("rows").cast("long").alias("n_answers"),
         render_numbered(F.transform("rows", lambda row: row["answer"])).alias("numbered"))
-    if groups.large is not None:
-        oversized = groups.large.groupBy(*QUERY_KEYS).agg(F.count("answer").alias("n_answers"))
-        numbered = numbered.unionByName(
-            oversized.withColumn("numbered", F.lit(None).cast("string")))
-    return with_task_context(tasks, numbered, strict).withColumn(
-        "prompt", judge_question(F.col("task_prompt"), F.col("query"), F.col("numbered"))) \
-        .drop("numbered")
-
-
-def judge_prompt_parts(tasks: DataFrame, answers: DataFrame) -> DataFrame:
-    """The same prompts as ``part, text`` rows; the texts of a query in order make it up."""
-    present = answers.where(F.col("answer").isNotNull())
-    item = F.concat((F.col("answer_idx") + 1).cast("string"), F.lit(". "), F.col("answer"))
-    lead = F.when(F.col("answer_idx") == 0, F.lit("")).otherwise(F.lit(" "))
-    parts = present.select(*QUERY_KEYS, (F.col("answer_idx") + 1).alias("part"),
-                           F.concat(lead, item).alias("text"))
-    answered = answers.select(*QUERY_KEYS).distinct()
-    starts = with_task_context(tasks, answered).select(
-        *QUERY_KEYS, F.lit(0).alias("part"),
+    asked = with_task_context(tasks, numbered, strict=True) if strict \
+        else tasks.join(numbered, QUERY_KEYS, "left")
+    prompt = judge_question(F.col("task_prompt"), F.col("query"),
+                            F.coalesce("numbered", F.lit("")))
+    return asked.withColumn("n_answers", F.coalesce("n_answers", F.lit(0).cast("long"))) \
+        .withColumn("prompt", prompt).drop("numbered")
+
+
+def judge_prompt_parts(tasks: DataFrame, answers: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same prompts as ``part, text`` rows; the texts of a query in order make it up.
+
+    Answers are numbered by their place among those of the query: within blocks of positions,
+    and from the counts of the blocks before, so no task numbers a whole query.
+    """
+    present = answers.where(F.col("answer").isNotNull()) \
+        .withColumn("__block", F.floor(F.col("answer_idx") / block))
+    before = Window.partitionBy(*QUERY_KEYS).orderBy("__block") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    starts = present.groupBy(*QUERY_KEYS, "__block").agg(F.count(F.lit(1)).alias("__n")) \
+        .select(*QUERY_KEYS, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0))
+                .alias("__before"))
+    inside = Window.partitionBy(*QUERY_KEYS, "__block").orderBy("answer_idx", "answer")
+    place = (F.col("__before") + F.row_number().over(inside)).alias("part")
+    numbered = present.join(starts, [*QUERY_KEYS, "__block"]).select(*QUERY_KEYS, place, "answer")
+    lead = F.when(F.col("part") == 1, F.lit("")).otherwise(F.lit(" "))
+    item = F.concat(lead, F.col("part").cast("string"), F.lit(". "), F.col("answer"))
+    heads = tasks.select(
+        *QUERY_KEYS, F.lit(0).cast("long").alias("part"),
         judge_question(F.col("task_prompt"), F.col("query"), F.lit("")).alias("text"))
-    return starts.unionByName(parts)
+    known = tasks.select(*QUERY_KEYS)
+    return heads.unionByName(numbered.select(*QUERY_KEYS, "part", item.alias("text"))
+                             .join(known, QUERY_KEYS, "left_semi"))
 
 
 def rating_requests(prompts: DataFrame, model: str, rubric: str | None = None) -> DataFrame:
-    return prompts.where(F.col("prompt").isNotNull()).select(*rating_request(
+    """One request for every prompt."""
+    return prompts.select(*rating_request(
         custom_id(F.col("task_name"), F.col("query_idx")), F.lit(model), F.col("prompt"),
         rubric))
 
 
+def ratings_by_query(ratings: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Ratings with the keys of their query in place of ``custom_id``.
+
+    The id holds the task's name and the query; ratings of unknown queries are left out, and
+    tasks must differ in name.
+    """
+    parts = split_query_id(F.col("custom_id"))
+    named = tasks.select("task_name", *QUERY_KEYS)
+    return ratings.withColumn("task_name", parts["task_name"]) \
+        .withColumn("query_idx", parts["query_idx"]) \
+        .join(named, ["task_name", "query_idx"]) \
+        .select(*QUERY_KEYS, *[c for c in ratings.columns if c != "custom_id"])
+
+
+def embeddings_from_responses(responses: DataFrame, embedding_model: str, generation_model: str,
+                              answer_only: bool = False) -> DataFrame:
+    """The embeddings table from ``custom_id, embedding``; the id holds run and keys."""
+    key = split_answer_id(F.col("custom_id"))
+    return responses.select(
+        key["env"].alias("env"), F.lit(embedding_model).alias("embedding_model"),
+        F.lit(generation_model).alias("generation_model"), F.lit(answer_only).alias("answer_only"),
+        *[key[name].alias(name) for name in (*QUERY_KEYS, "answer_idx")],
+        F.col("embedding").cast("array<float>").alias("embedding"))
+
+
 def embedding_requests(df: DataFrame, env: str, model: str) -> DataFrame:
     """One request per answer row with a ``text``."""
     request_id = custom_id(F.lit(env), *[F.col(c) for c in (*QUERY_KEYS, "answer_idx")])
@@ -112,17 +144,25 @@ def answer_length(answers: DataFrame, keys: list[str] | None = None,
 
 
 def nest(df: DataFrame, value: str, order: str = "answer_idx",
-         keys: list[str] | None = None, slice_size: int = SLICE) -> DataFrame:
-    """Values of each group as ordered arrays, one per ``part`` of ``slice_size`` positions.
+         keys: list[str] | None = None, slice_size: int | None = None) -> DataFrame:
+    """Values of each group as one ordered array; a group without values has an empty one.
 
-    All but very large groups have one part. Groups without values have one empty array.
+    With ``slice_size`` a group comes as rows of at most so many values, numbered by ``part``,
+    cut by place and not by position.
     """
     keys = keys or QUERY_KEYS
-    part = F.coalesce(F.floor(F.col(order) / slice_size).cast("int"), F.lit(0)).alias("part")
     pairs = F.sort_array(F.collect_list(F.when(
         F.col(order).isNotNull(), F.struct(order, value))))
-    return df.groupBy(*keys, part).agg(pairs.alias("pairs")) \
-        .select(*keys, "part", F.transform("pairs", lambda pair: pair[value]).alias("items"))
+    if slice_size is None:
+        part, rows = [], df
+    else:
+        place = F.count(order).over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+                                    .rowsBetween(Window.unboundedPreceding, 0))
+        part = ["part"]
+        rows = df.withColumn("part", F.greatest(F.floor((place - 1) / slice_size), F.lit(0))
+                             .cast("int"))
+    return rows.groupBy(*keys, *part).agg(pairs.alias("pairs")) \
+        .select(*keys, *part, F.transform("pairs", lambda pair: pair[value]).alias("items"))
 
 
 def pending_answers(answers: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -60,9 +60,17 @@ def cosine_profile(spark: SparkSession, folder: str) -> DataFrame:
                           six("mean_cosine"))
 
 
+def spectrum_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of squares and cubes of all eigenvalues, over all vectors."""
+    profile = diversity.diversity_profile(
+        table(spark, folder, "embeddings"), ["label"], order="vec_id")
+    return profile.select(long("label"), "n_items", *[
+        F.round(name, 9).alias(name) for name in ("sum_squares", "sum_cubes")])
+
+
 def diversity_summary(spark: SparkSession, folder: str) -> DataFrame:
     scores = diversity.diversity_score(
-        table(spark, folder, "embeddings"), ["label"], order="vec_id", max_items=2)
+        table(spark, folder, "embeddings"), ["label"], order="vec_id")
     return statistics.mean_ci(scores, "score", ["label"]).select(
         long("label"), "is_total", "n", six("mean"), six("margin"))
 
@@ -70,10 +78,12 @@ def diversity_summary(spark: SparkSession, folder: str) -> DataFrame:
 def nested_vectors(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.vector_answers(table(spark, folder, "embeddings"))
     nested = tasks.nest(answers, "embedding")
-    first, last = F.col("items")[0][0], F.element_at("items", -1)[0]
-    return nested.select(long("query_idx"), long("part"), long("n_vectors", F.size("items")),
-                         six("first_value", first.cast("double")),
-                         six("last_value", last.cast("double")))
+    values = F.flatten("items")
+    # each value times its place, which no other order of the values gives
+    products = F.transform(values, lambda v, i: v.cast("double") * (i + 1))
+    return nested.select(long("query_idx"), long("n_vectors", F.size("items")),
+                         long("n_values", F.size(values)),
+                         six("checksum", F.aggregate(products, F.lit(0.0), lambda a, v: a + v)))
 
 
 def pending_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +106,18 @@ def embedding_responses(spark: SparkSession, folder: str) -> DataFrame:
                          six("first_value", F.col("embedding")[0].cast("double")))
 
 
+def embeddings_from_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of the embeddings table that responses make up."""
+    lines = corpus.vector_response_lines(table(spark, folder, "embeddings"))
+    parsed = lines.select(F.from_json("value", schemas.EMBEDDING_RESPONSE).alias("r")).select(
+        "r.custom_id", readers.first_embedding(F.col("r.response")).alias("embedding"))
+    made = tasks.embeddings_from_responses(parsed, EMBEDDING_MODEL, "some/model")
+    return made.select("env", "embedding_model", "generation_model", "answer_only",
+                       long("task_idx"), long("query_idx"), long("answer_idx"),
+                       F.posexplode("embedding").alias("place", "value")) \
+        .withColumn("place", long("place")).withColumn("value", six("value", F.col("value").cast("double")))
+
+
 # Lists and replies
 
 def extract_items_rendered(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,6 +212,13 @@ def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return _prompts(spark, folder).select(long("query_idx"), "n_answers", "prompt")
 
 
+def judge_prompt_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts put together from their parts."""
+    parts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    return judge_prompt_parts(spark, folder).groupBy("query_idx").agg(
+        F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("prompt"))
+
+
 def judge_prompt_parts(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return tasks.judge_prompt_parts(corpus.conversation_tasks(conversations),
@@ -197,6 +226,22 @@ def judge_prompt_parts(spark: SparkSession, folder: str) -> DataFrame:
         .select(long("query_idx"), long("part"), "text")
 
 
+def flattened_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = corpus.task_document(table(spark, folder, "conversations"))
+    parsed = readers.parsed_documents(documents, "value", schemas.TASK_SET_JSON, ["number"])
+    flat = readers.flatten_tasks(parsed)
+    return flat.select(long("task_idx"), "task_name", "task_name_original", "task_prompt",
+                       long("query_idx"), "query")
+
+
+def flattened_answers(spark: SparkSession, folder: str) -> DataFrame:
+    documents = corpus.answer_document(table(spark, folder, "conversations"))
+    parsed = readers.parsed_documents(documents, "value", schemas.ANSWERS_JSON, ["number"])
+    flat = readers.flatten_answers(parsed, keep=["number"])
+    return flat.select(long("number"), long("task_idx"), long("query_idx"), long("answer_idx"),
+                       "answer")
+
+
 def embedding_requests(spark: SparkSession, folder: str) -> DataFrame:
     texts = tasks.contextualize(_context(spark, folder))
     requests = tasks.embedding_requests(texts, "my-env", EMBEDDING_MODEL)
@@ -228,6 +273,16 @@ def parsed_ratings(spark: SparkSession, folder: str) -> DataFrame:
         readers.first_message(F.col("r.response"))))
 
 
+def ratings_by_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings of documents, whose task is named ``doc``, with the keys of their query."""
+    asked = table(spark, folder, "documents").select(
+        F.lit("doc").alias("task_name"), F.lit(0).alias("task_idx"),
+        F.col("doc_id").cast("int").alias("query_idx"))
+    found = tasks.ratings_by_query(parsed_ratings(spark, folder), asked)
+    return found.withColumn("task_idx", long("task_idx")) \
+        .withColumn("query_idx", long("query_idx"))
+
+
 def unanswered_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every document is asked for a rating, labelled ones have been answered."""
     custom_id = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("custom_id")
@@ -245,8 +300,8 @@ def ledger_latest_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completed_batches(spark: SparkSession, folder: str) -> DataFrame:
-    batches = ledger.completed_batches(corpus.event_ledger(table(spark, folder, "events")))
-    return ledger.pick_batches(batches)
+    batches = ledger.pick_batches(corpus.event_ledger(table(spark, folder, "events")))
+    return ledger.completed_batches(batches)
 
 
 # Answers and scores of texts
@@ -306,6 +361,29 @@ def diversity_documents(spark: SparkSession, folder: str) -> DataFrame:
         .select(*DOCUMENT_KEYS, six("score"))
 
 
+def context_diversity(spark: SparkSession, folder: str) -> DataFrame:
+    """Diversity of each conversation's replies, each read with the turn that asked for them."""
+    conversations = table(spark, folder, "conversations")
+    scores = reports.context_diversity(corpus.conversation_tasks(conversations),
+                                       corpus.conversation_answers(conversations))
+    return scores.select(long("task_idx"), long("query_idx"), six("score"))
+
+
+def context_diversity_summary(spark: SparkSession, folder: str) -> DataFrame:
+    scores = context_diversity(spark, folder)
+    return statistics.mean_ci(scores, "score", ["task_idx"]).select(
+        long("task_idx"), "is_total", "n", six("mean"), six("margin"))
+
+
+def context_diversity_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries, those scored 0, and those scored 1, whose answers are none and all alike."""
+    scores = context_diversity(spark, folder)
+    return scores.groupBy("task_idx").agg(
+        F.count("score").alias("n_queries"),
+        F.count(F.when(F.col("score") == 0, 1)).alias("n_empty"),
+        F.count(F.when(F.col("score") == 1, 1)).alias("n_single"))
+
+
 # Statistics
 
 def mean_ci_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -368,13 +446,15 @@ def score_rating_report(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     diversity_by_label, diversity_first_two, diversity_first_three, cosine_profile,
-    diversity_summary, nested_vectors, pending_answers, embedding_responses,
+    spectrum_moments, diversity_summary, nested_vectors, embeddings_from_responses, pending_answers, embedding_responses,
     extract_items_rendered, extract_items_plain, meaningful_items, valid_attempts,
     selected_replies, selected_answers, pending_queries, attempt_log, attempt_summary,
     generation_messages, contextualized_text, judge_prompts, judge_prompt_parts,
+    judge_prompt_joined, flattened_tasks, flattened_answers, ratings_by_query,
     embedding_requests, rating_requests, parsed_ratings, unanswered_requests,
     ledger_first_entries, ledger_latest_entries, completed_batches, answer_counts,
     answer_length, answer_length_words, self_bleu_conversations, self_bleu_documents,
     self_bleu_words, compression_distance_documents, hashed_embedding_size,
-    diversity_documents, mean_ci_documents, spearman_by_language, partial_spearman_total,
+    diversity_documents, context_diversity, context_diversity_summary,
+    context_diversity_counts, mean_ci_documents, spearman_by_language, partial_spearman_total,
     correlation_report, assembled_scores, score_summary, score_rating_report)}

@@ -11,10 +11,8 @@ DOCUMENT_KEYS = ["lang", "doc_id"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables; a file with fewer splits than cores is spread over them."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """One of the given tables."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def lines(text: Column) -> Column:
@@ -63,6 +61,28 @@ def vector_answers(embeddings: DataFrame) -> DataFrame:
                              F.col("vec_id").cast("int").alias("answer_idx"), "embedding")
 
 
+def task_document(conversations: DataFrame) -> DataFrame:
+    """Conversations as one task set in JSON for each of ten numbers, as task files hold it."""
+    asked = conversation_tasks(conversations)
+    queries = asked.groupBy((F.col("query_idx") % 10).alias("number")).agg(
+        F.sort_array(F.collect_list(F.struct("query_idx", "query"))).alias("queries"))
+    task = F.struct(F.concat(F.lit("chat "), F.col("number").cast("string")).alias("task_name"),
+                    F.lit("Chat").alias("task_name_original"), F.lit("Reply: ").alias("task_prompt"),
+                    F.transform("queries", lambda q: q["query"]).alias("task_list"))
+    return queries.select("number", F.to_json(F.array(task)).alias("value"))
+
+
+def answer_document(conversations: DataFrame) -> DataFrame:
+    """Assistant turns as nested answers in JSON for each of ten numbers, as answer files hold them."""
+    said = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
+    answers = conversations.groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list(said)), lambda t: t["text"]).alias("answers"))
+    queries = answers.groupBy((F.col("conv_id") % 10).alias("number")).agg(
+        F.sort_array(F.collect_list(F.struct("conv_id", "answers"))).alias("queries"))
+    nested = F.array(F.transform("queries", lambda q: q["answers"]))
+    return queries.select("number", F.to_json(nested).alias("value"))
+
+
 def event_ledger(events: DataFrame) -> DataFrame:
     """Event = ledger entry, one file per user; a purchase is a completed batch."""
     status = F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))

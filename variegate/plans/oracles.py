@@ -125,12 +125,14 @@ context AS (
   FROM tasks JOIN conversations ON conv_id = query_idx WHERE role = 'assistant')"""
 
 PROMPTS = CONTEXT + """,
+answered AS (
+  SELECT query_idx, list(answer ORDER BY answer_idx) FILTER (WHERE answer IS NOT NULL) AS said
+  FROM context GROUP BY query_idx),
 prompts AS (
-  SELECT query_idx, count(*) AS n_answers, 'Question: ' || any_value(task_prompt)
-    || any_value(query) || chr(10) || 'Answer: '
-    || array_to_string(list_transform(list(answer ORDER BY answer_idx),
-                                      lambda v, i: i || '. ' || v), ' ') AS prompt
-  FROM context GROUP BY query_idx)"""
+  SELECT query_idx, coalesce(len(said), 0)::BIGINT AS n_answers, 'Question: ' || task_prompt
+    || query || chr(10) || 'Answer: ' || coalesce(array_to_string(list_transform(
+      said, lambda v, i: i || '. ' || v), ' '), '') AS prompt
+  FROM tasks LEFT JOIN answered USING (query_idx))"""
 
 EVENTS = """
 ledger AS (
@@ -297,16 +299,37 @@ SELECT label::BIGINT AS label, count(embedding) AS n_items,
        count(*) - count(embedding) AS n_missing, any_value(n_negative_pairs) AS n_negative_pairs,
        any_value(mean_cosine) AS mean_cosine
 FROM embeddings LEFT JOIN sums USING (label) GROUP BY label""",
-    "diversity_summary": f"""WITH {FIRST_TWO}
-SELECT label::BIGINT AS label, grouping(label) > 0 AS is_total, count(*) AS n,
-       round(avg(score), 6) AS mean,
-       round({normal_quantile(0.95)!r} * stddev_samp(score) / sqrt(count(*)), 6) AS margin
-FROM scores GROUP BY GROUPING SETS ((label), ())""",
+    "spectrum_moments": """
+WITH vectors AS (
+  SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+cosines AS (
+  SELECT a.label, a.vec_id AS i, b.vec_id AS j,
+         CASE WHEN a.vec_id = b.vec_id THEN 1
+              ELSE greatest(list_cosine_similarity(a.v, b.v), 0) END AS c
+  FROM vectors a JOIN vectors b USING (label)),
+sizes AS (SELECT label, count(*) AS n FROM vectors GROUP BY label),
+squares AS (SELECT label, sum(c * c) AS s FROM cosines GROUP BY label),
+paths AS (
+  SELECT a.label, a.i, b.j AS k, sum(a.c * b.c) AS p
+  FROM cosines a JOIN cosines b ON a.label = b.label AND a.j = b.i GROUP BY ALL),
+cubes AS (
+  SELECT p.label, sum(p.p * c.c) AS s FROM paths p JOIN cosines c
+  ON p.label = c.label AND p.i = c.i AND p.k = c.j GROUP BY ALL)
+SELECT label::BIGINT AS label, n AS n_items, round(q.s / (n * n), 9) AS sum_squares,
+       round(c.s / (n * n * n), 9) AS sum_cubes
+FROM sizes JOIN squares q USING (label) JOIN cubes c USING (label)""",
     "nested_vectors": """
-SELECT label::BIGINT AS query_idx, (vec_id // 4096)::BIGINT AS part, count(*) AS n_vectors,
-       round(arg_min(embedding[1], vec_id)::DOUBLE, 6) AS first_value,
-       round(arg_max(embedding[1], vec_id)::DOUBLE, 6) AS last_value
-FROM embeddings GROUP BY 1, 2""",
+WITH nested AS (
+  SELECT label, flatten(list(embedding ORDER BY vec_id)) AS v, count(*) AS n
+  FROM embeddings GROUP BY label)
+SELECT label::BIGINT AS query_idx, n AS n_vectors, len(v)::BIGINT AS n_values,
+       round(list_sum(list_transform(v, lambda x, i: x::DOUBLE * i)), 6) AS checksum
+FROM nested""",
+    "embeddings_from_responses": f"""
+SELECT 'my-env' AS env, '{EMBEDDING_MODEL}' AS embedding_model, 'some/model' AS generation_model,
+       false AS answer_only, 0::BIGINT AS task_idx, label::BIGINT AS query_idx,
+       vec_id AS answer_idx, unnest(range(len(embedding))) AS place,
+       round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings""",
     "pending_answers": """
 SELECT label::BIGINT AS query_idx, vec_id AS answer_idx, vec_id::VARCHAR AS answer
 FROM embeddings WHERE embedding[1] < 0""",
@@ -367,12 +390,45 @@ FROM tasks, instruction""",
 SELECT query_idx, answer_idx, 'Q: ' || task_prompt || ' ' || query || chr(10) || 'A: ' || answer
        AS text FROM context""",
     "judge_prompts": f"WITH {PROMPTS} SELECT * FROM prompts",
-    "judge_prompt_parts": f"""WITH {CONTEXT}
-SELECT DISTINCT query_idx, 0::BIGINT AS part,
-       'Question: ' || task_prompt || query || chr(10) || 'Answer: ' AS text FROM context
+    "judge_prompt_joined": f"WITH {PROMPTS} SELECT query_idx, prompt FROM prompts",
+    "judge_prompt_parts": f"""WITH {CONTEXT},
+placed AS (
+  SELECT query_idx, answer, row_number() OVER (PARTITION BY query_idx ORDER BY answer_idx) AS part
+  FROM context WHERE answer IS NOT NULL)
+SELECT query_idx, 0::BIGINT AS part,
+       'Question: ' || task_prompt || query || chr(10) || 'Answer: ' AS text FROM tasks
 UNION ALL
-SELECT query_idx, answer_idx + 1, CASE WHEN answer_idx = 0 THEN '' ELSE ' ' END
-       || (answer_idx + 1) || '. ' || answer FROM context""",
+SELECT query_idx, part, CASE WHEN part = 1 THEN '' ELSE ' ' END || part || '. ' || answer
+FROM placed""",
+    "flattened_tasks": f"""WITH {TASKS}
+SELECT 0::BIGINT AS task_idx, 'chat ' || query_idx % 10 AS task_name,
+       'Chat' AS task_name_original, 'Reply: ' AS task_prompt,
+       row_number() OVER (PARTITION BY query_idx % 10 ORDER BY query_idx) - 1 AS query_idx, query
+FROM tasks""",
+    "flattened_answers": """
+WITH numbers AS (
+  SELECT conv_id, conv_id % 10 AS number,
+         row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) - 1 AS query_idx
+  FROM (SELECT DISTINCT conv_id FROM conversations)),
+said AS (
+  SELECT conv_id, text AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
+         AS answer_idx FROM conversations WHERE role = 'assistant')
+SELECT number, 0::BIGINT AS task_idx, query_idx, answer_idx, answer
+FROM numbers LEFT JOIN said USING (conv_id)""",
+    "ratings_by_query": f"""WITH {RATINGS}
+SELECT 0::BIGINT AS task_idx, doc_id AS query_idx,
+       CASE WHEN is_complete THEN (quality + 1)::DOUBLE END AS fluency,
+       CASE WHEN is_complete THEN (quality * 2 + toxic + 1)::DOUBLE END AS flexibility,
+       CASE WHEN is_complete THEN (quality * 0.5 + 2)::DOUBLE END AS originality,
+       CASE WHEN is_complete THEN (toxic + 2)::DOUBLE END AS elaboration,
+       CASE WHEN is_complete THEN (quality + toxic + 1)::DOUBLE END AS overall, is_complete
+FROM ratings JOIN documents USING (doc_id)""",
+    "context_diversity_counts": f"""WITH {CONTEXT},
+counts AS (
+  SELECT query_idx, count(answer) AS n FROM tasks LEFT JOIN context USING (query_idx)
+  GROUP BY query_idx)
+SELECT 0::BIGINT AS task_idx, count(*) AS n_queries, count(*) FILTER (WHERE n = 0) AS n_empty,
+       count(*) FILTER (WHERE n = 1) AS n_single FROM counts""",
     "embedding_requests": f"""WITH {CONTEXT}
 SELECT 'my-env-0-' || query_idx || '-' || answer_idx AS custom_id, 'POST' AS method,
        '{EMBEDDING_URL}' AS url, '{EMBEDDING_MODEL}' AS model,
@@ -400,7 +456,7 @@ SELECT 'doc-' || d.doc_id AS custom_id, d.lang,
 FROM documents d LEFT JOIN ratings r ON d.doc_id = r.doc_id""",
     "ledger_first_entries": ledger_entries("arg_min"),
     "ledger_latest_entries": ledger_entries("arg_max"),
-    "completed_batches": ledger_entries("arg_min", "status = 'completed'"),
+    "completed_batches": f"SELECT * FROM ({ledger_entries('arg_min')}) WHERE status = 'completed'",
     "answer_counts": f"""WITH {ANSWERS}
 SELECT lang, doc_id, len(all_lines)::BIGINT AS n_answers FROM lined""",
     "answer_length": f"""WITH {ANSWERS}

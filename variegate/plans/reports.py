@@ -7,18 +7,26 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variegate.operators.diversity import diversity_score
 from variegate.operators.embed import hashed_embedding
 from variegate.operators.scoring import score
 from variegate.operators.statistics import correlation_report, mean_ci
-from variegate.operators.tasks import answer_length, assemble_scores
+from variegate.operators.tasks import (answer_length, assemble_scores, contextualize,
+                                       with_task_context)
+from variegate.sources.schemas import QUERY_KEYS
 
 METHODS = {"diversity": None, "self_bleu": 4, "ncd": None}
 
 
 def score_answers(answers: DataFrame, keys: list[str], methods: dict[str, int | None] = METHODS,
                   queries: DataFrame | None = None) -> DataFrame:
-    """``keys, method, arg_n, score`` by every method, vectors from hashed words."""
+    """``keys, method, arg_n, score`` by every method, vectors from hashed words.
+
+    A query that is in ``answers`` without an answer, or in ``queries`` alone, scores 0.
+    """
     scores = []
+    listed = answers.select(*keys)
+    queries = listed if queries is None else listed.union(queries.select(*keys))
     for method, arg_n in methods.items():
         rows = answers
         if method == "diversity":
@@ -27,6 +35,12 @@ def score_answers(answers: DataFrame, keys: list[str], methods: dict[str, int |
     return reduce(DataFrame.unionByName, scores)
 
 
+def context_diversity(tasks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Diversity of each query's answers, read together with their question; 0 without answers."""
+    texts = contextualize(with_task_context(tasks, answers.where(F.col("answer").isNotNull())))
+    return diversity_score(hashed_embedding(texts), QUERY_KEYS, queries=tasks)
+
+
 def score_summary(scores: DataFrame, task: str) -> DataFrame:
     """Mean score with its interval, per method and task and per method over all."""
     return mean_ci(scores, "score", [task], within=["method"])

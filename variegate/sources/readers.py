@@ -77,11 +77,37 @@ def require_complete(ratings: DataFrame) -> DataFrame:
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RATINGS).csv(path, header=True, escape='"', multiLine=False)
+    return _csv_by_name(spark, path, schemas.RATINGS)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SCORES).csv(path, header=True, escape='"')
+    """Scores as CSV or as Parquet, whichever the path holds; run columns come along."""
+    files = spark.read.format("binaryFile").load(path).inputFiles()
+    if any(name.endswith(".parquet") for name in files):
+        found = spark.read.parquet(path)
+        return _typed(found, schemas.SCORES, [c for c in schemas.RUN_KEYS if c in found.columns])
+    return _csv_by_name(spark, path, schemas.SCORES)
+
+
+def _typed(df: DataFrame, schema: T.StructType, more: list[str]) -> DataFrame:
+    missing = [name for name in schema.names if name not in df.columns]
+    if missing:
+        raise ValueError(f"columns missing: {missing}")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema], *more)
+
+
+def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Columns are found by the names in the header, in any order; others are left out.
+
+    A file whose header differs from that of the first one is an error, and so is a value that
+    is not of its column's type.
+    """
+    names = spark.read.csv(path, header=True, escape='"').columns
+    kinds = {f.name: f.dataType for f in schema}
+    own = T.StructType([T.StructField(name, kinds.get(name, T.StringType())) for name in names])
+    rows = spark.read.schema(own).csv(path, header=True, escape='"', enforceSchema=False,
+                                      mode="FAILFAST")
+    return _typed(rows, schema, [])
 
 
 def read_ledger(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -99,8 +125,24 @@ def _is_parquet(path: str) -> bool:
 
 
 def _json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one document under ``path``. Positions in it become keys, so a second file, whose
+    positions would be the same, is an error; so is text that is not a document of the schema."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.from_json("value", schema).alias("document"))
+    files = text.inputFiles()
+    if len(files) > 1:
+        raise ValueError(f"{len(files)} files under {path}, whose positions would collide")
+    if text.isEmpty():
+        raise ValueError(f"no document under {path}")
+    return parsed_documents(text, "value", schema)
+
+
+def parsed_documents(df: DataFrame, column: str, schema: str,
+                     keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and ``document``, parsed from JSON text; text that is no document is an error."""
+    parsed = F.from_json(column, schema, {"mode": "FAILFAST"})
+    problem = F.raise_error(F.lit("not a JSON document of the expected form"))
+    return df.select(*(keep or []), F.when(parsed.isNotNull(), parsed)
+                     .otherwise(problem.cast(schema)).alias("document"))
 
 
 def _json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool) -> DataFrame:
