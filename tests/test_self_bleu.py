@@ -70,7 +70,7 @@ def test_registry(spark):
     assert (row["method"], row["arg_n"], row["score"]) == ("self_bleu", 2, pytest.approx(1))
     with pytest.raises(ValueError, match="no scoring method is named x"):
         score(df, ["k"], "x")
-    with pytest.raises(ValueError, match="arg_n is required"):
+    with pytest.raises(ValueError, match="self_bleu needs arg_n"):
         score(df, ["k"], "self_bleu")
 
     def longest(rows, keys, arg_n):
