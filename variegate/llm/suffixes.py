@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variegate.llm.common import checked_broadcast, written
+from variegate.llm.common import checked_broadcast, without, written
 
 LENGTH = 400
 GRAM = 16
@@ -33,8 +33,8 @@ PART = 1 << 20  # starts of a long text that are handled at once
 PLACE_BITS = 22
 MULTIPLIER = 0x9E3779B97F4A7C15
 FILTER_BYTES = 1 << 25  # most that the filter of repeated anchors takes; beyond, it only sifts less
-LARGE = 4096  # places of an anchor; beyond, its strings are dealt out by their hashes
-SORTED_AT_ONCE = 1 << 21  # bytes
+LARGE = 1 << 16  # places of an anchor; beyond, its strings are dealt out by their hashes
+SORTED_AT_ONCE = 3 << 19  # bytes; below 1 << 21 a sort of triples is one of single numbers
 STRINGS_AT_ONCE = 1 << 20
 
 
@@ -265,8 +265,23 @@ def _repeats_of(anchors_held: list[dict]) -> list[tuple]:
     return out
 
 
-def _named(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Names from 1 in ``order``; equal keys share a name."""
+def _packed(keys: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Keys of ``bits`` bits as one key where that fits in 63: one sort in place of several."""
+    if bits * len(keys) > 63:
+        return keys
+    out = keys[0].astype(np.int64)
+    for key in keys[1:]:
+        out = out << bits | key
+    return [out]
+
+
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def _named(keys: list[np.ndarray]) -> np.ndarray:
+    """Names from 1 in the order of the keys; equal keys share a name."""
+    order = _order(keys)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for key in keys:
@@ -277,41 +292,46 @@ def _named(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return names
 
 
-def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether the string of ``length`` bytes at each start also begins at another start."""
+def repeated_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the string of ``LENGTH`` bytes at each start also begins at another start."""
     n = len(text)
-    padded = np.zeros(n + 4 * length + 1000, np.uint8)
+    padded = np.zeros(n + 4 * LENGTH + 1000, np.uint8)
     padded[:n] = text
     words = np.zeros(len(padded) - 8, np.uint64)
     for i in range(8):
         words |= padded[i:i + len(words)].astype(np.uint64) << np.uint64(56 - 8 * i)
+    bits = (len(padded) + 1).bit_length()
+    word = _named([words])
     places = np.arange(n)
     sample = places[places % 3 != 0]
-    triple = [words[sample], words[sample + 8], words[sample + 16]]
     names = np.zeros(len(padded), np.int64)
-    names[sample] = _named(np.lexsort(triple[::-1]), triple)
+    names[sample] = _named(_packed([word[sample], word[sample + 8], word[sample + 16]], bits))
     size = 24  # bytes that a name stands for; a multiple of 3, so names behind are sampled too
-    while size < length and names[sample].max(initial=0) < len(sample):
-        triple = [names[sample], names[np.minimum(sample + size, len(names) - 1)],
-                  names[np.minimum(sample + 2 * size, len(names) - 1)]]
-        if len(sample) < 1 << 21:
-            triple = [triple[0] << 42 | triple[1] << 21 | triple[2]]
-        names[sample] = _named(np.lexsort(triple[::-1]), triple)
+    found, shorter = np.zeros(n, bool), names
+    while size < LENGTH:
+        if names[sample].max(initial=0) == len(sample):
+            return found[starts]  # no two suffixes share even so many bytes
+        shorter = names.copy()
+        triple = [names[np.minimum(sample + i * size, len(names) - 1)] for i in range(3)]
+        names[sample] = _named(_packed(triple, bits))
         size *= 3
-    found = np.zeros(n, bool)
+    size //= 3  # what the shorter names stand for, at least half of the length
     kind = starts % 3
     zero, one, two = (starts[kind == k] for k in range(3))
     sampled = np.concatenate([one, two])
-    orders = [sampled[np.argsort(names[sampled], kind="stable")]]
+    orders = [(0, sampled[np.argsort(names[sampled])])]
     for others, lead in ((one, 1), (two, 2)):  # zeros merged with each class of the sample
         both = np.concatenate([zero, others])
-        head = words[both] >> np.uint64(64 - 8 * lead)
-        orders.append(both[np.lexsort([names[both + lead], head])])
-    for order in orders:
+        head = (words[both] >> np.uint64(64 - 8 * lead)).astype(np.int64)
+        orders.append((lead, both[np.argsort(head << 40 | names[both + lead])]))
+    # Neighbours are equal if their first and last words are, and two names that reach from the
+    # first to the last one.
+    second = (LENGTH - size) // 3 * 3 - 3
+    for lead, order in orders:
         left, right = order[:-1], order[1:]
-        for i in range(0, length, 8):
-            step = min(i, length - 8)
-            same = words[left + step] == words[right + step]
+        for facts, at in ((words, 0), (words, LENGTH - 8), (shorter, lead),
+                          (shorter, lead + second)):
+            same = facts[left + at] == facts[right + at]
             left, right = left[same], right[same]
         found[left] = found[right] = True
     return found[starts]
@@ -414,8 +434,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     in a string of 400 bytes that also starts elsewhere, in another row or the same; overlaps
     count, and all strings are judged on the input. A null text is empty: nothing is removed and
     kept is empty. Copies of a text of 400 bytes or more lose all of it. Rows are kept as they
-    are, repeats too; other columns are not read.
+    are, repeats too; columns named like the added ones are replaced.
     """
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "k1", "k2")
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
     keys = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
                        F.col(text).alias("text"))
