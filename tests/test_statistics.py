@@ -51,9 +51,9 @@ def test_ranks_do_not_depend_on_buckets(spark, partitions):
     pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 400),
                         "x": np.where(rng.random(400) < 0.4, 0.0, rng.normal(size=400).round(1)),
                         "flag": rng.random(400) < 0.7})
-    cuts = list(np.linspace(-2, 2, partitions))
-    table = average_ranks(spark.createDataFrame(pdf), "x", ["k"],
-                          {"all_rows": F.lit(True), "some": F.col("flag")}, cuts).toPandas()
+    table = average_ranks(spark.createDataFrame(pdf), ["k"], {"x": {
+        "all_rows": F.lit(True), "some": F.col("flag")}}, partitions).toPandas() \
+        .rename(columns={"__value": "x"})
     ranks = pdf.assign(r=pdf.groupby("k").x.rank())
     some = pdf[pdf.flag].assign(s=lambda d: d.groupby("k").x.rank())
     expected = ranks.drop_duplicates(["k", "x"]).merge(
@@ -135,3 +135,17 @@ def test_tail_at_many_degrees_of_freedom():
     n = 1e10
     x = 1 - (2 / (n + 4) ** 0.5) ** 2
     assert beta_tail(n / 2, 0.5, x) == pytest.approx(0.0455002639, abs=1e-7)
+
+
+@pytest.mark.parametrize("rows", [100_000, 10])
+def test_one_value_fills_most_rows(spark, monkeypatch, rows):
+    """90 % of the rows hold one value; ranks are broadcast, and too many for that."""
+    from variegate.operators import statistics
+    monkeypatch.setattr(statistics, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": "a", "x": np.where(rng.random(2000) < 0.9, 0.0, rng.normal(size=2000)),
+                        "y": rng.normal(size=2000), "z": rng.integers(0, 3, 2000) * 1.0})
+    pdf["y"] += pdf.x
+    found = spearman(spark.createDataFrame(pdf), "x", "y", ["k"]).first()
+    assert found["rho"] == pytest.approx(pdf.x.rank().corr(pdf.y.rank()), abs=1e-12)
+    assert found["n_used"] == 2000

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variegate.functions.significance import correlation_p, normal_quantile
-from variegate.operators.grouping import null_safe_join
+from variegate.operators.grouping import BROADCAST_ROWS, null_safe_join
 from variegate.session import cut_lineage
 
+# Parts that rows of one value are spread over where ranks cannot be broadcast.
+HOT_PARTS = 32
+
 
 def mean_ci(df: DataFrame, value: str = "score", by: list[str] | None = None,
             total: bool = True, within: list[str] | None = None,
@@ -32,31 +35,54 @@ def mean_ci(df: DataFrame, value: str = "score", by: list[str] | None = None,
     return grouped.select(*within, *by, "is_total", "n", "mean", "sd", margin.alias("margin"))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], counted: dict[str, Column],
-                  cuts: list[float]) -> DataFrame:
-    """``by, value`` and, for each name in ``counted``, the average rank among its rows.
+def average_ranks(df: DataFrame, by: list[str], counted: dict[str, dict[str, Column]],
+                  n_buckets: int) -> DataFrame:
+    """``by, __name, __value`` and, for each set of rows, the average rank of the value in it.
 
-    Equal values are counted first, so a value that fills a third of the rows is one row
-    here. The distinct values are then summed up in buckets between ``cuts``: first within
-    each bucket, then over the buckets' totals. No task sees all values of a group, and the
-    result does not depend on where the cuts lie.
+    ``counted`` names, for each value column, the sets of rows among which it is ranked; the
+    rank is null for sets of other columns. All columns go through together. Equal values are
+    counted first, so a value that fills a third of the rows is one row here. The distinct
+    values are then summed up in buckets: first within each bucket, then over the buckets'
+    totals. No task sees all values of a group, and the result does not depend on where the cuts
+    lie.
     """
-    histogram = df.groupBy(*by, value).agg(*[
-        F.count(F.when(rows, 1)).alias(name) for name, rows in counted.items()]) \
-        .withColumn("__bucket", _cuts_below(F.col(value), cuts))
-    totals = histogram.groupBy(*by, "__bucket").agg(*[
-        F.sum(name).alias(f"__{name}") for name in counted])
-    over_buckets = Window.partitionBy(*by).orderBy("__bucket") \
+    names = list(dict.fromkeys(name for sets in counted.values() for name in sets))
+    stacked = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__value"), *[
+            sets.get(name, F.lit(None).cast("boolean")).alias(name) for name in names])
+        for v, sets in counted.items()]))).where(F.col("__value").isNotNull())
+    keys = [*by, "__name"]
+    histogram = cut_lineage(stacked.groupBy(*keys, "__value").agg(*[
+        F.count(F.when(F.col(name), 1)).alias(name) for name in names]))
+    bucket = F.lit(0)
+    for v, cuts in _cuts(histogram, n_buckets).items():
+        bucket = F.when(F.col("__name") == v, _cuts_below(F.col("__value"), cuts)) \
+            .otherwise(bucket)
+    placed = histogram.withColumn("__bucket", bucket)
+    totals = placed.groupBy(*keys, "__bucket").agg(*[
+        F.sum(name).alias(f"__{name}") for name in names])
+    over_buckets = Window.partitionBy(*keys).orderBy("__bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "__bucket", *[
+    starts = totals.select(*keys, "__bucket", *[
         F.coalesce(F.sum(f"__{name}").over(over_buckets), F.lit(0)).alias(f"__{name}")
-        for name in counted])
-    within = Window.partitionBy(*by, "__bucket").orderBy(value) \
+        for name in names])
+    within = Window.partitionBy(*keys, "__bucket").orderBy("__value") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = histogram.select(*by, value, "__bucket", *[
-        (F.sum(name).over(within) - (F.col(name) - 1) / 2).alias(name) for name in counted])
-    return null_safe_join(ranked, starts, [*by, "__bucket"]).select(*by, value, *[
-        (F.col(name) + F.col(f"__{name}")).alias(name) for name in counted])
+    ranked = placed.select(*keys, "__value", "__bucket", *[
+        (F.sum(name).over(within) - (F.col(name) - 1) / 2).alias(name) for name in names])
+    return null_safe_join(ranked, starts, [*keys, "__bucket"]).select(*keys, "__value", *[
+        (F.col(name) + F.col(f"__{name}")).alias(name) for name in names])
+
+
+def _cuts(histogram: DataFrame, n_buckets: int) -> dict[str, list[float]]:
+    """For each name, about ``n_buckets - 1`` of its distinct values at equal distances."""
+    if n_buckets < 2:
+        return {}
+    fractions = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    finite = histogram.where(F.abs("__value") < float("inf"))
+    found = finite.groupBy("__name").agg(F.percentile_approx(
+        "__value", fractions, max(10_000, 10 * n_buckets)).alias("cuts")).collect()
+    return {row["__name"]: sorted(set(row["cuts"] or ())) for row in found}
 
 
 def _cuts_below(value: Column, cuts: list[float]) -> Column:
@@ -75,21 +101,25 @@ def _cuts_below(value: Column, cuts: list[float]) -> Column:
 
 def with_ranks(df: DataFrame, by: list[str],
                counted: dict[str, dict[str, Column]]) -> DataFrame:
-    """For each value, attach its average ranks as ``{name}_{value}``.
+    """For each value, attach its average ranks as ``{name}_{value}``; ``df`` is a written table.
 
-    ``counted`` names, for each value, the sets of rows among which it is ranked.
+    The table of ranks has a row for each distinct value. It is broadcast if it is counted to be
+    short; else rows and ranks meet in parts, so that a value of very many rows is in many tasks.
     """
-    values = list(counted)
     n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fractions = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(values, fractions, 0.01) if fractions else [[] for _ in values]
-    ranked = df
-    for (value, sets), found in zip(counted.items(), cuts):
-        present = df.where(F.col(value).isNotNull())
-        table = average_ranks(present, value, by, sets, sorted(set(found))) \
-            .withColumnsRenamed({name: f"{name}_{value}" for name in sets})
-        ranked = null_safe_join(ranked, table, [*by, value], "left")
-    return ranked
+    table = cut_lineage(average_ranks(df, by, counted, n_buckets))
+    short = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    parts = 1 if short else HOT_PARTS
+    ranked = df.withColumn("__part", F.monotonically_increasing_id() % parts)
+    for value, sets in counted.items():
+        own = table.where(F.col("__name") == value).select(
+            *by, F.col("__value").alias(value),
+            *[F.col(name).alias(f"{name}_{value}") for name in sets])
+        each = own.withColumn("__part", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        ranked = null_safe_join(ranked, F.broadcast(each) if short else each,
+                                [*by, value, "__part"], "left")
+    return ranked.drop("__part")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
