@@ -15,6 +15,7 @@ from test_diversity import by_definition
 
 import __spark_entry__
 from variegate.operators.embed import hashed_embedding
+from variegate.operators import diversity
 from variegate.plans import catalog, corpus, oracles, reports
 
 
@@ -67,6 +68,37 @@ def test_diversity_documents(spark, answers):
     np.testing.assert_allclose(found.sort_index(), expected.sort_index(), atol=1e-5)
 
 
+def test_context_diversity(spark):
+    """Replies read with their question; conversations without one score 0."""
+    turns = pd.read_parquet(f"{DATA}/conversations.parquet")
+    found = catalog.context_diversity(spark, DATA).toPandas().set_index("query_idx").score
+    assert set(found.index) == set(turns.conv_id)
+    rows, empty = [], set(turns.conv_id)
+    for conv, part in turns.groupby("conv_id"):
+        asked = part[part.role == "user"].sort_values("turn").text
+        query = asked.iloc[0] if len(asked) else ""
+        for turn, text in part[part.role == "assistant"][["turn", "text"]].itertuples(index=False):
+            rows.append((conv, turn, f"Q: Reply to this turn:  {query}\nA: {text}"))
+            empty.discard(conv)
+    vectors = hashed_embedding(spark.createDataFrame(rows, "q long, i long, text string")).toPandas()
+    expected = vectors.groupby("q").embedding.apply(lambda v: by_definition(np.stack(list(v))))
+    np.testing.assert_allclose(found[expected.index], expected, atol=1e-5)
+    assert empty and (found[sorted(empty)] == 0).all()
+
+
+def test_embedding_after_the_shuffle(spark):
+    """The same scores by vectors made before, for small and for large groups."""
+    answers = corpus.document_answers(corpus.table(spark, DATA, "documents")) \
+        .where("answer IS NOT NULL")
+    before = diversity.diversity_score(hashed_embedding(answers, "answer"), ["lang"], order="doc_id")
+    for limit in (10**6, 100):
+        after = diversity.diversity_score(
+            answers, ["lang"], order="doc_id", text="answer", dense_limit=limit,
+            embed=lambda rows: hashed_embedding(rows, "answer"))
+        left, right = (df.toPandas().set_index("lang").score.sort_index() for df in (before, after))
+        np.testing.assert_allclose(left, right, rtol=1e-8)
+
+
 def distance(texts):
     data = [t.encode() for t in texts]
     sizes = [len(gzip.compress(d)) for d in data]

@@ -118,10 +118,11 @@ def per_group(df: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType
 
 
 def per_small_group(df: DataFrame, keys: list[str], fields: list[tuple[str, T.DataType]],
-                    kernel: Kernel) -> DataFrame:
+                    kernel: Kernel, placed: bool = False) -> DataFrame:
     """The same for many groups of a few rows each, which share batches on the way to Python.
 
-    A group must fit in memory, as it must for :func:`per_group`.
+    A group must fit in memory, as it must for :func:`per_group`. ``placed`` says that the rows of
+    a group lie in one partition already.
     """
     schema = T.StructType(key_fields(df, keys) + [T.StructField(*field) for field in fields])
     build = _row_builder(schema, keys)
@@ -140,7 +141,8 @@ def per_small_group(df: DataFrame, keys: list[str], fields: list[tuple[str, T.Da
         if held:
             yield build([(current, row) for row in kernel(pa.concat_tables(held))])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    together = df if placed else df.repartition(*keys)
+    return together.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def runs_of_groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:

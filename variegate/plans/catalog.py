@@ -356,8 +356,10 @@ def hashed_embedding_size(spark: SparkSession, folder: str) -> DataFrame:
 
 def diversity_documents(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.document_answers(table(spark, folder, "documents"))
-    vectors = embed.hashed_embedding(answers.where(F.col("answer").isNotNull()), "answer")
-    return diversity.diversity_score(vectors, DOCUMENT_KEYS, queries=answers) \
+    present = answers.where(F.col("answer").isNotNull())
+    return diversity.diversity_score(
+        present, DOCUMENT_KEYS, queries=answers, text="answer",
+        embed=lambda rows: embed.hashed_embedding(rows, "answer")) \
         .select(*DOCUMENT_KEYS, six("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +28,18 @@ def score_answers(answers: DataFrame, keys: list[str], methods: dict[str, int |
     listed = answers.select(*keys)
     queries = listed if queries is None else listed.union(queries.select(*keys))
     for method, arg_n in methods.items():
-        rows = answers
+        rows, options = answers, {}
         if method == "diversity":
-            rows = hashed_embedding(answers.where(F.col("answer").isNotNull()), "answer")
-        scores.append(score(rows, keys, method, arg_n, queries=queries))
+            rows = answers.where(F.col("answer").isNotNull())
+            options = {"text": "answer", "embed": partial(hashed_embedding, text="answer")}
+        scores.append(score(rows, keys, method, arg_n, queries=queries, **options))
     return reduce(DataFrame.unionByName, scores)
 
 
 def context_diversity(tasks: DataFrame, answers: DataFrame) -> DataFrame:
     """Diversity of each query's answers, read together with their question; 0 without answers."""
     texts = contextualize(with_task_context(tasks, answers.where(F.col("answer").isNotNull())))
-    return diversity_score(hashed_embedding(texts), QUERY_KEYS, queries=tasks)
+    return diversity_score(texts, QUERY_KEYS, queries=tasks, text="text", embed=hashed_embedding)
 
 
 def score_summary(scores: DataFrame, task: str) -> DataFrame:
