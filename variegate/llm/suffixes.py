@@ -33,9 +33,9 @@ PART = 1 << 20  # starts of a long text that are handled at once
 PLACE_BITS = 22
 MULTIPLIER = 0x9E3779B97F4A7C15
 FILTER_BYTES = 1 << 25  # most that the filter of repeated anchors takes; beyond, it only sifts less
-LARGE = 1 << 16  # places of an anchor; beyond, its strings are dealt out by their hashes
-SORTED_AT_ONCE = 3 << 19  # bytes; below 1 << 21 a sort of triples is one of single numbers
-STRINGS_AT_ONCE = 1 << 20
+LARGE = 2048  # places of an anchor; beyond, its strings are dealt out by their hashes
+SORTED_AT_ONCE = 1 << 19  # bytes; below 1 << 21 a sort of triples is one of single numbers
+STRINGS_AT_ONCE = 1 << 18
 
 
 class Hasher:
@@ -338,63 +338,88 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of hot anchors as hashes, packed by the part of the anchor they are dealt to."""
+    """Strings of hot anchors as hashes, packed by anchor and part.
+
+    Equal strings have their anchor at one distance from their start, so strings are dealt to
+    parts by ranges of it, which keeps neighbouring starts together; where one distance is too
+    many, by their hash as well.
+    """
     hashers = [Hasher(2 * LENGTH, seed) for seed in (2, 3)]
     for batch in batches:
-        rows = []
-        columns = [batch[c].to_pylist() for c in ("name", "k1", "k2", "first", "parts")]
-        for name, k1, k2, first, parts, part in zip(*columns, batch["bytes"].to_pylist()):
-            text = np.frombuffer(part, np.uint8)
-            one, two = (h.strings(h.sums(text), LENGTH) for h in hashers)
-            dealt = (one % np.uint64(parts)).astype(np.int64)
-            for own in np.unique(dealt).tolist():
-                at = np.flatnonzero(dealt == own)
-                rows.append((name, own, k1, k2, (at + first).astype(np.int64).tobytes(),
-                             np.stack([one[at], two[at]], axis=1).tobytes()))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["name", "part", "k1", "k2", "starts", "hashes"])
+        for low in range(0, len(batch), 1000):
+            yield _packed_hashes(batch.slice(low, 1000), hashers)
+
+
+def _packed_hashes(batch: pa.RecordBatch, hashers: list[Hasher]) -> pa.RecordBatch:
+    packed: dict[tuple, list] = {}
+    columns = [batch[c].to_pylist() for c in ("name", "k1", "k2", "lead", "first", "n", "bytes")]
+    for name, k1, k2, lead, first, n, part in zip(*columns):
+        width = max(1, min(SPAN, STRINGS_AT_ONCE // n))
+        subs = -(-n * width // STRINGS_AT_ONCE)
+        text = np.frombuffer(part, np.uint8)
+        one, two = (h.strings(h.sums(text), LENGTH) for h in hashers)
+        distance = lead - np.arange(len(one))
+        dealt = distance // width * subs + (one % np.uint64(subs)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")
+        cuts = np.flatnonzero(np.diff(dealt[order])) + 1
+        for own in np.split(order, cuts):
+            packed.setdefault((name, int(dealt[own[0]])), []).append(
+                ((k1, k2, first), own.astype(np.uint16), one[own], two[own]))
+    rows = []
+    for (name, part), strings in packed.items():
+        rows.append((name, part, np.array([x[0] for x in strings], np.int64).tobytes(),
+                     np.array([len(x[1]) for x in strings], np.int32).tobytes(),
+                     *[np.concatenate([x[i] for x in strings]).tobytes() for i in (1, 2, 3)]))
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                      names=["name", "part", "places", "sizes", "offsets", "one", "two"])
+
+
+PACKED = ("name long, part long, places binary, sizes binary, offsets binary, one binary, "
+          "two binary")
 
 
 def _hashed_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, current = [], None
-
-    def settle():
-        starts = [np.frombuffer(r[2], np.int64) for r in held]
-        hashes = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(-1, 2)
-        place = np.repeat(np.arange(len(held)), [len(s) for s in starts])
-        rows = np.empty(len(hashes), [("one", "u8"), ("two", "u8"), ("k1", "i8"), ("k2", "i8"),
-                                      ("start", "i8")])
-        rows["one"], rows["two"] = hashes[:, 0], hashes[:, 1]
-        rows["k1"] = np.array([r[0] for r in held], np.int64)[place]
-        rows["k2"] = np.array([r[1] for r in held], np.int64)[place]
-        rows["start"] = np.concatenate(starts)
-        rows = np.unique(rows)  # a text that several tasks have sent counts once
-        same = (rows["one"][1:] == rows["one"][:-1]) & (rows["two"][1:] == rows["two"][:-1])
-        marked = np.zeros(len(rows), bool)
-        marked[1:] |= same
-        marked[:-1] |= same
-        rows = np.sort(rows[marked], order=["k1", "k2", "start"])
-        if not len(rows):
-            return _repeats_batch([])
-        new = (np.diff(rows["k1"]) != 0) | (np.diff(rows["k2"]) != 0) | (np.diff(rows["start"]) != 1)
-        first = np.concatenate([[0], np.flatnonzero(new) + 1])
-        last = np.concatenate([first[1:] - 1, [len(rows) - 1]])
-        return _repeats_batch(list(zip(rows["k1"][first].tolist(), rows["k2"][first].tolist(),
-                                       rows["start"][first].tolist(), rows["start"][last].tolist())))
-
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("name", "part", "k1", "k2", "starts", "hashes")]
-        for name, part, k1, k2, starts, hashes in zip(*columns):
-            if held and (name, part) != current:
-                yield settle()
+        for i in range(len(batch)):
+            own = batch["name"][i].as_py(), batch["part"][i].as_py()
+            if held and own != current:
+                yield _repeats_batch(_equal_hashes(held))
                 held = []
-            current = name, part
-            held.append((k1, k2, starts, hashes))
+            current = own
+            held.append([batch[c][i].as_py() for c in ("places", "sizes", "offsets", "one", "two")])
     if held:
-        yield settle()
+        yield _repeats_batch(_equal_hashes(held))
+
+
+def _equal_hashes(held: list[list[bytes]]) -> list[tuple]:
+    kinds = (np.int64, np.int32, np.uint16, np.uint64, np.uint64)
+    places, sizes, offsets, one, two = (
+        np.concatenate([np.frombuffer(row[i], kind) for row in held]) for i, kind in enumerate(kinds))
+    places, keep, place = np.unique(places.reshape(-1, 3), axis=0, return_index=True,
+                                    return_inverse=True)
+    # a text that several tasks have sent counts once
+    chosen = np.zeros(len(sizes), bool)
+    chosen[keep] = True
+    each = np.repeat(chosen, sizes)
+    place = np.repeat(place.ravel(), sizes)[each]
+    start, one, two = offsets[each].astype(np.int64), one[each], two[each]
+    order = np.lexsort([two, one])
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    marked = np.zeros(len(one), bool)
+    marked[order[1:][same]] = marked[order[:-1][same]] = True
+    place, start = place[marked], start[marked]
+    if not len(place):
+        return []
+    order = np.argsort(place << 16 | start)
+    place, start = place[order], start[order]
+    new = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1)) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(place) - 1]])
+    base = places[place[first], 2]
+    return list(zip(places[place[first], 0].tolist(), places[place[first], 1].tolist(),
+                    (base + start[first]).tolist(), (base + start[last]).tolist()))
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -411,16 +436,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     stretches = written(texts.mapInArrow(
         _stretches(sent), "name long, k1 long, k2 long, lead long, first long, bytes binary"))
     hot = written(repeated.where(F.col("n") > LARGE).select("name", "n"))
-    side = checked_broadcast(hot)
-    few = stretches.join(side, "name", "left_anti").repartition("name") \
+    known = stretches.join(checked_broadcast(hot), "name", "left")
+    few = known.where(F.col("n").isNull()).drop("n").repartition("name") \
         .sortWithinPartitions("name", "k1", "k2", "first") \
         .mapInArrow(_sorted_repeats, REPEATS)
-    # The more places an anchor has, the more parts its strings are dealt to.
-    parts = F.ceil(F.col("n") * F.lit(SPAN / STRINGS_AT_ONCE)).cast("long")
-    many = stretches.join(side, "name") \
-        .select("name", "k1", "k2", "first", parts.alias("parts"), "bytes") \
-        .mapInArrow(_string_hashes, "name long, part long, k1 long, k2 long, starts binary, "
-                                    "hashes binary") \
+    many = known.where(F.col("n").isNotNull()).mapInArrow(_string_hashes, PACKED) \
         .repartition("name", "part").sortWithinPartitions("name", "part") \
         .mapInArrow(_hashed_repeats, REPEATS)
     return few.unionByName(many)
