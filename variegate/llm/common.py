@@ -11,6 +11,13 @@ from variegate.session import cut_lineage
 BROADCAST_ROWS = 100_000
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Send fewer rows at once to Python, as texts are long; a number the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one of the given tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variegate.llm.common import without, written
+from variegate.llm.common import lean_batches, without, written
 
 # What separates words, in bytes; every byte from 0x80 belongs to a word.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -85,6 +85,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
     each is broadcast, and the rows pass one after the other in the same task, without a
     shuffle. Columns of ``docs`` that are named like these are replaced.
     """
+    lean_batches(docs.sparkSession)
     docs = without(docs, "n_words", "n_hit", "hit_items", "hit_spans")
     windows = written(item_windows(items, n).withColumn("bytes", F.length("window") + 64))
     total = windows.agg(F.sum("bytes")).first()[0] or 0

@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
-from variegate.llm.common import without, written
+from variegate.llm.common import lean_batches, without, written
 
 LETTER = regex.compile(r"\p{L}")
 SAMPLE = 1500  # documents of each language that a model is fitted on
 ROUNDS = 3
 SMOOTHING = 200.0  # pieces' worth of the mean over languages that each language is mixed with
-WORDS_HELD = 200_000  # in a task; beyond, what is known of words is dropped and found again
-TOKENS_AT_ONCE = 200_000
+WORDS_HELD = 100_000  # in a task; beyond, what is known of words is dropped and found again
+TOKENS_AT_ONCE = 100_000
 UNKNOWN = "und"
 
 
@@ -140,6 +140,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     The model is broadcast: its size is that of the vocabulary times the languages. Columns of
     ``docs`` that are named like these are replaced.
     """
+    lean_batches(docs.sparkSession)
     docs = without(docs, "lang_pred", "lang_score")
     sent = docs.sparkSession.sparkContext.broadcast(
         (model.vocabulary, model.languages, model.chances))

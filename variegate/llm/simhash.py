@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variegate.llm.common import checked_broadcast, written
+from variegate.llm.common import checked_broadcast, lean_batches, written
 from variegate.llm.components import connected
 
 SHINGLE = 3
@@ -53,6 +53,7 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and ``__fp``, the fingerprint as a signed long; null and wordless texts have 0."""
+    lean_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = docs.select(*keep).withColumn("__fp", F.lit(0).cast("long")).schema
 
