@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
-from variegate.llm.common import without
+from variegate.llm.common import lean_batches, without
 
 # Blanks with the word after them; a line feed is a word of its own.
 WORD = re.compile(rb"\xff+[^\xff\n]*|[^\xff\n]+|\n")
-WORDS_HELD = 200_000  # in a task; beyond, what is known of words is dropped and found again
-TOKENS_AT_ONCE = 200_000
+WORDS_HELD = 100_000  # in a task; beyond, what is known of words is dropped and found again
+TOKENS_AT_ONCE = 100_000
+ROWS_AT_ONCE = 500  # of a batch, so that what a task holds besides it stays small
 
 
 def split_words(text: str) -> list[bytes]:
@@ -28,6 +29,12 @@ def split_words(text: str) -> list[bytes]:
     return WORD.findall(line.replace(b" ", lattice.BLANK))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(low, ROWS_AT_ONCE)
+
+
 def encode(docs: DataFrame, vocabulary: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids array<int>``.
 
@@ -35,6 +42,7 @@ def encode(docs: DataFrame, vocabulary: dict, text: str = "text") -> DataFrame:
     marker's own character and control characters included. Rows are kept as they are. The
     trie is broadcast: its size is that of the vocabulary. A column ``piece_ids`` is replaced.
     """
+    lean_batches(docs.sparkSession)
     docs = without(docs, "piece_ids")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = docs.withColumn("piece_ids", F.lit(None).cast("array<int>")).schema
@@ -54,7 +62,7 @@ def encode(docs: DataFrame, vocabulary: dict, text: str = "text") -> DataFrame:
             learn([t for words in held for t in words])
             return [b"".join(map(pieces_of.__getitem__, words)) for words in held]
 
-        for batch in batches:
+        for batch in in_slices(batches):
             blobs, held, size = [], [], 0
             for value in batch[text]:
                 value = value.as_py()
@@ -95,7 +103,7 @@ def decode(rows: DataFrame, vocabulary: dict, ids: str = "piece_ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*sent.value], object)
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
             for value in batch[ids]:
                 if not value.is_valid:
