@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 
 from variegate.llm import language, lattice, quality

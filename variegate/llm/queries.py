@@ -98,7 +98,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination, op6_suffix_arrays, op7_kd_sharding,
+    op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination,
+    op6_suffix_arrays, op7_kd_sharding,
     op8_sentence_pieces, op9_site_templates, op10_url_filter)}
 
 ORACLES = {
