@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from variegate.operators import replies, tasks
 from variegate.sources import readers, schemas, writers
