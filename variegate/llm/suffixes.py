@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variegate.llm.common import checked_broadcast, without, written
+from variegate.llm.common import checked_broadcast, lean_batches, without, written
 
 LENGTH = 400
 GRAM = 16
@@ -202,24 +202,57 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
-REPEATS = "k1 long, k2 long, first long, last long"
-
-
-def _repeats_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                      names=["k1", "k2", "first", "last"])
-
-
-def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+RANGES = "bucket int, ranges binary"
+RANGES_AT_ONCE = 1 << 17
+
+
+def _packed_ranges(found: Iterator[list[tuple]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Ranges (k1, k2, first, last) of a task, packed by the bucket that their text is dealt to."""
+    held: list[tuple] = []
+
+    def pack():
+        rows = np.array(held, np.int64).reshape(-1, 4)
+        held.clear()
+        bucket = (rows[:, 0] % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        parts = [own for own in np.split(order, cuts) if len(own)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(bucket[own[0]]) for own in parts], pa.int32()),
+             pa.array([rows[own].tobytes() for own in parts], pa.binary())],
+            names=["bucket", "ranges"])
+
+    for rows in found:
+        held += rows
+        if len(held) > RANGES_AT_ONCE:
+            yield pack()
+    yield pack()
+
+
+def _merged_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text of the buckets of a task, with its ranges in order, overlaps joined."""
+    parts = [np.frombuffer(r, np.int64) for b in batches for r in b["ranges"].to_pylist()]
+    rows = np.concatenate([np.zeros(0, np.int64), *parts]).reshape(-1, 4)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    text = np.zeros(len(rows), np.int64)
+    text[1:] = np.cumsum((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0))
+    first, last = text << 40 | rows[:, 2], np.maximum.accumulate(text << 40 | rows[:, 3])
+    new = np.ones(len(rows), bool)
+    new[1:] = first[1:] > last[:-1] + 1
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(rows))[:len(starts)] - 1
+    low, high = rows[starts, 2], last[ends] & ((1 << 40) - 1)
+    owners = np.flatnonzero(np.diff(text[starts], prepend=-1))
+    offsets = pa.array(np.append(owners, len(starts)).astype(np.int32))
+    pairs = pa.StructArray.from_arrays([pa.array(low), pa.array(high)], names=["first", "last"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(rows[starts[owners], 0]), pa.array(rows[starts[owners], 1]),
+         pa.ListArray.from_arrays(offsets, pairs)], names=["k1", "k2", "ranges"])
+
+
+def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Starts of repeated strings among stretches that come sorted by anchor."""
     waiting, size, current, name = [], 0, {}, None
-
-    def settle():
-        out = _repeats_of(waiting)
-        waiting.clear()
-        return _repeats_batch(out)
-
     for batch in batches:
         columns = [batch[c].to_pylist() for c in ("name", "k1", "k2", "lead", "first", "bytes")]
         for own, k1, k2, lead, first, part in zip(*columns):
@@ -228,13 +261,13 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     waiting.append(current)
                     size += sum(len(p) for _, p in current)
                 if size > SORTED_AT_ONCE:
-                    yield settle()
-                    size = 0
+                    yield _repeats_of(waiting)
+                    waiting, size = [], 0
                 current, name = {}, own
             current.setdefault((lead, part), set()).add((k1, k2, first))
     if current:
         waiting.append(current)
-    yield settle()
+    yield _repeats_of(waiting)
 
 
 def _repeats_of(anchors_held: list[dict]) -> list[tuple]:
@@ -380,18 +413,18 @@ PACKED = ("name long, part long, places binary, sizes binary, offsets binary, on
           "two binary")
 
 
-def _hashed_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     held, current = [], None
     for batch in batches:
         for i in range(len(batch)):
             own = batch["name"][i].as_py(), batch["part"][i].as_py()
             if held and own != current:
-                yield _repeats_batch(_equal_hashes(held))
+                yield _equal_hashes(held)
                 held = []
             current = own
             held.append([batch[c][i].as_py() for c in ("places", "sizes", "offsets", "one", "two")])
     if held:
-        yield _repeats_batch(_equal_hashes(held))
+        yield _equal_hashes(held)
 
 
 def _equal_hashes(held: list[list[bytes]]) -> list[tuple]:
@@ -423,11 +456,12 @@ def _equal_hashes(held: list[list[bytes]]) -> list[tuple]:
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
-    """``k1, k2, first, last``: ranges of starts of repeated strings in each different text.
+    """``k1, k2, ranges``: ranges of starts of repeated strings, for each text that has some.
 
     docs: k1, k2 (two hashes of the text), text. Copies are looked at once for each task.
     """
     context = docs.sparkSession.sparkContext
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("k1", "k2", "text")
     counts = texts.mapInArrow(_anchor_counts, "name long, n long").groupBy("name") \
         .agg(F.sum("n").alias("n"))
@@ -439,11 +473,13 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     known = stretches.join(checked_broadcast(hot), "name", "left")
     few = known.where(F.col("n").isNull()).drop("n").repartition("name") \
         .sortWithinPartitions("name", "k1", "k2", "first") \
-        .mapInArrow(_sorted_repeats, REPEATS)
+        .mapInArrow(lambda rows: _packed_ranges(_sorted_repeats(rows), buckets), RANGES)
     many = known.where(F.col("n").isNotNull()).mapInArrow(_string_hashes, PACKED) \
         .repartition("name", "part").sortWithinPartitions("name", "part") \
-        .mapInArrow(_hashed_repeats, REPEATS)
-    return few.unionByName(many)
+        .mapInArrow(lambda rows: _packed_ranges(_hashed_repeats(rows), buckets), RANGES)
+    span = "array<struct<first: bigint, last: bigint>>"
+    return few.unionByName(many).repartition(buckets, "bucket") \
+        .mapInArrow(_merged_ranges, f"k1 long, k2 long, ranges {span}")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -456,12 +492,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     kept is empty. Copies of a text of 400 bytes or more lose all of it. Rows are kept as they
     are, repeats too; columns named like the added ones are replaced.
     """
+    lean_batches(docs.sparkSession)
     docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "k1", "k2")
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
     keys = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
                        F.col(text).alias("text"))
-    ranges = repeated_strings(keys).groupBy("k1", "k2") \
-        .agg(F.collect_list(F.struct("first", "last")).alias("__ranges"))
+    ranges = repeated_strings(keys).withColumnRenamed("ranges", "__ranges")
     copied = keys.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").count() \
         .where(F.col("count") > 1).select("k1", "k2", F.lit(True).alias("__copied"))
     facts = written(ranges.join(copied, ["k1", "k2"], "full"))
