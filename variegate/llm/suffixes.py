@@ -467,10 +467,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     repeated = written(counts.where(F.col("n") > 1))
     sent = context.broadcast(repeated_filter(repeated, repeated.count()))
-    stretches = written(texts.mapInArrow(
-        _stretches(sent), "name long, k1 long, k2 long, lead long, first long, bytes binary"))
     hot = written(repeated.where(F.col("n") > LARGE).select("name", "n"))
-    known = stretches.join(checked_broadcast(hot), "name", "left")
+    stretches = texts.mapInArrow(
+        _stretches(sent), "name long, k1 long, k2 long, lead long, first long, bytes binary")
+    # every stretch once, with the number of places where its anchor is hot
+    known = written(stretches.join(checked_broadcast(hot), "name", "left"))
     few = known.where(F.col("n").isNull()).drop("n").repartition("name") \
         .sortWithinPartitions("name", "k1", "k2", "first") \
         .mapInArrow(lambda rows: _packed_ranges(_sorted_repeats(rows), buckets), RANGES)
