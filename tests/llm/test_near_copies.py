@@ -1,0 +1,79 @@
+"""Near copies of the pipeline against all Jaccard similarities."""
+
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from variegate.llm import near_copies as n
+from variegate.llm import simhash
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_loops(rows):
+    """Smallest ids of the components of similarities of 0.8 or more."""
+    sets = [shingled(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    best = {}
+    for (i, _), x in zip(rows, label):
+        best[x] = min(i, best.get(x, i))
+    return sorted(best.values())
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(8)
+    out = []
+    for base in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 300))]
+        for copy in range(8):  # from equal but for one word to quite unlike
+            changed = list(words)
+            for at in rng.sample(range(len(words)), copy * len(words) // 200 + (copy > 0)):
+                changed[at] = f"x{rng.randrange(9000)}"
+            out.append((100 * base + copy, " ".join(changed)))
+    out += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  TWO"), (5004, "one two three")]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("large", [n.LARGE, 400])
+def test_all_similarities(spark, rows, large):
+    """With a small limit most components take the way of the large ones."""
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(5)
+    kept = simhash.keep_one(docs, components=lambda d, t, i: n.with_components(d, t, i, large))
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_loops(rows)
+
+
+def test_stage_drops_near_copies(spark, rows):
+    """Copies far more than three bits away go, at a similarity of 0.8 and not below."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(kept_by_loops(rows))
+    by_prints = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert len(kept) < len(by_prints)
+
+
+def test_exact_bound():
+    sets = [np.arange(0, 90, dtype=np.uint64), np.arange(10, 100, dtype=np.uint64),
+            np.arange(0, 89, dtype=np.uint64), np.arange(500, 590, dtype=np.uint64)]
+    assert n.Group(sets[1:]).near(sets[0]).tolist() == [True, True, False]
+    assert n.exact_roots(sets).tolist() == [0, 0, 0, 3]
+    assert n.Group([sets[1]]).near(sets[0][:-1]).tolist() == [False]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.keep_one(docs, components=n.with_components).count() == 0
+    one = docs.select(F.lit(1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    assert simhash.keep_one(one, components=n.with_components).count() == 0

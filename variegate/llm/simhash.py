@@ -10,7 +10,7 @@ reference fingerprints discards every pair that differs by more than three in an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,14 +218,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "doc_id", printed.alias("fingerprint"), F.col("__least.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+             components: Callable[[DataFrame, str, str], DataFrame] = _with_components) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: that of the smallest id.
 
+    components: what is near, by default fingerprints within three bits.
     Of several rows with this id the one with the smallest hash of its text stays; of rows that
     are equal in both, one. Null ids come last. The texts are only shuffled if the list of what
     goes is not counted to be short.
     """
-    placed = written(_with_components(docs, text, doc_id))
+    placed = written(components(docs, text, doc_id))
     stays = F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) \
         & F.col("__hash").eqNullSafe(F.col("__least.__hash"))
     names = [F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")]
