@@ -63,6 +63,18 @@ def test_copies_and_ties(spark):
     assert all(len(v) == 5 and q not in v for q, v in by_query.items())
 
 
+@pytest.mark.parametrize("times", [2, 6, 9])
+def test_copies_in_repeated_rows(spark, times):
+    """A row that is repeated does not hide the other copies of its vector."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 0.5], 0) for i in range(100, 112) for _ in range(times)]
+    rows += [(i, rng.normal(size=3).tolist(), 0) for i in range(1, 90)]
+    found = n.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 100).collect()
+    by_rank = {r["rank"]: r.vec_id for r in found}
+    assert [by_rank[i] for i in range(1, 6)] == [101, 102, 103, 104, 105]
+    assert len(found) == 5 * times and all(r.score == pytest.approx(1) for r in found)
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (1, None, 0), (2, [0.0, 0.0], 0), (3, [1.0, None], 0),
             (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [3e38, 3e38], 0),

@@ -146,8 +146,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     vectors of another dimension than most have (the smallest of those equally common), nor null
     ids. A table without two usable rows gives no result. A query that meets fewer than ``k``
     rows in its buckets is compared with all. Equal vectors are one entry with their ``k + 1``
-    smallest ids, all that can appear in a result. Repeated ids are rows of their own for others,
-    and their queries exclude all rows of that id.
+    smallest different ids, all that can appear in a result: an id counts once for a vector,
+    however often the row is repeated. An id with several vectors is a candidate with each of them,
+    and its queries exclude all rows of that id.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding") \
@@ -166,7 +167,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     keyed = keyed.where(F.size("embedding") == size)
     from pyspark.sql import Window
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = keyed.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k + 1)
+    different = keyed.groupBy("k1", "k2", "vec_id").agg(F.first("embedding").alias("embedding"))
+    few = different.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k + 1)
     entries = written(few.groupBy("k1", "k2").agg(
         F.sort_array(F.collect_list("vec_id")).alias("ids"),
         F.first("embedding").alias("embedding")))
