@@ -72,3 +72,32 @@ def numbered(df: DataFrame, shard: str, slot: str) -> DataFrame:
                        (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__p"))) \
         .withColumn(slot, (F.col("__start") + F.col("__rank")).cast("long")) \
         .drop("__row", "__part", "__shard", "__p", "__start", "__rank")
+
+
+def summed_before(df: DataFrame, shard: str, amount: str, name: str,
+                  keep_rows: bool = False) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows of its shard that come before a row.
+
+    ``df`` must be a written table, sorted over its partitions. Sums of partitions are added up by
+    shard; within a partition and shard a window sums, so no task sees more than a partition.
+    With ``keep_rows`` the result is written and keeps the order of ``df``.
+    """
+    from pyspark.sql import Window
+
+    placed = df.withColumn("__row", F.monotonically_increasing_id()) \
+        .withColumn("__part", F.shiftright("__row", 33))
+    sums = placed.groupBy(shard, "__part").agg(F.sum(amount).alias("__n"))
+    before = Window.partitionBy(shard).orderBy("__part") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(shard).alias("__shard"), F.col("__part").alias("__p"),
+                         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(shard, "__part").orderBy("__row") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("__sum", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    out = within.join(checked_broadcast(starts, 1_000_000),
+                      (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__p"))) \
+        .withColumn(name, (F.col("__start") + F.col("__sum")).cast("long")) \
+        .drop("__part", "__shard", "__p", "__start", "__sum")
+    if keep_rows:
+        return written(out.repartitionByRange("__row").sortWithinPartitions("__row").drop("__row"))
+    return out.drop("__row")

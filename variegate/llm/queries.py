@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variegate.llm import (decontamination, html_text, language, lattice, neighbours, pieces, quality,
-                           sharding, simhash, suffixes, url_filter)
+from variegate.llm import (decontamination, html_text, language, lattice, mixing, neighbours, pieces,
+                           quality, sharding, simhash, suffixes, url_filter)
 from variegate.llm.common import fold, table
 
 # The rules of the query.
@@ -97,10 +97,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination,
     op6_suffix_arrays, op7_kd_sharding,
-    op8_sentence_pieces, op9_site_templates, op10_url_filter)}
+    op8_sentence_pieces, op9_site_templates, op10_url_filter,
+    op13_golden_mix)}
 
 ORACLES = {
     "op5_decontamination": r"""
@@ -159,4 +165,51 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN l.name IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM named n LEFT JOIN listed l ON n.name = l.name""",
+    "op13_golden_mix": r"""
+WITH docs AS (
+  SELECT doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+  FROM docs GROUP BY source),
+weighted AS (
+  SELECT *, [3, 1, 2][(no % 3)::INT + 1]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM sources),
+levels AS (
+  SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (
+      ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY cap / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy
+  FROM weighted),
+level AS (
+  SELECT rest, heavy FROM levels WHERE cap > rest * w / heavy ORDER BY cap / w, no LIMIT 1),
+targets AS (
+  SELECT source, no, source_size,
+    coalesce(least(cap, (SELECT rest FROM level) * w / (SELECT heavy FROM level)), cap) AS target
+  FROM weighted),
+placed AS (
+  SELECT d.doc_id, d.size, t.*, sum(d.size) OVER (PARTITION BY t.no ORDER BY k, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - d.size AS first,
+    row_number() OVER () AS id
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+blocks AS (
+  SELECT no, source_size, floor(target)::BIGINT AS quota, block, pass,
+    least(512, source_size - 512 * block)::BIGINT AS words
+  FROM targets, unnest(range((source_size + 511) // 512)) AS b(block), (VALUES (0), (1)) AS p(pass)
+  WHERE pass * source_size < floor(target)),
+uses AS (
+  SELECT no, block, least(words, quota - pass * source_size - coalesce(sum(words) OVER (
+    PARTITION BY no, pass ORDER BY md5(pass || ':' || block), block
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS take
+  FROM blocks),
+cut AS (
+  SELECT id, no, first, size, block
+  FROM placed, unnest(range(first // 512, (first + size - 1) // 512 + 1)) AS b(block) WHERE size > 0),
+found AS (
+  SELECT id, sum(greatest(0, least(first + size, block * 512 + take)
+    - greatest(first, block * 512))) AS taken
+  FROM cut JOIN uses USING (no, block) WHERE take > 0 GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM placed LEFT JOIN found USING (id)""",
 }
