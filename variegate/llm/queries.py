@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variegate.llm import (decontamination, html_text, language, lattice, mixing, neighbours, pieces,
-                           quality, sharding, simhash, suffixes, url_filter)
+                           quality, sharding, simhash, suffixes, tries, url_filter)
 from variegate.llm.common import fold, table
 
 # The rules of the query.
@@ -97,6 +97,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -106,7 +110,7 @@ QUERIES = {f.__name__: f for f in (
     op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination,
     op6_suffix_arrays, op7_kd_sharding,
     op8_sentence_pieces, op9_site_templates, op10_url_filter,
-    op13_golden_mix)}
+    op12_prefix_trie, op13_golden_mix)}
 
 ORACLES = {
     "op5_decontamination": r"""
@@ -165,6 +169,53 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN l.name IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM named n LEFT JOIN listed l ON n.name = l.name""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      coalesce(role, ''), coalesce(text, '')) - 1 AS at,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - (conv_id % 5 + 5) % 5 AS base, xor(4294967295, list_reduce(
+      list_prepend(4294967295::UBIGINT,
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), list_transform(range(8),
+        lambda i: i::UBIGINT)), lambda y, i: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))
+    ))::BIGINT % 9 AS h, count(*) AS own
+  FROM turns GROUP BY conv_id),
+headed AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.own, 0)) AS shared
+  FROM convs c LEFT JOIN convs b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT h.conv_id, t.at, t.role, t.text
+  FROM headed h JOIN turns t ON t.conv_id = h.base AND t.at < h.h
+  UNION ALL
+  SELECT h.conv_id, t.at - h.h + h.shared, t.role, t.text
+  FROM headed h JOIN turns t ON t.conv_id = h.conv_id AND t.at >= h.h),
+whole AS (
+  SELECT c.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.at)
+    FILTER (r.at IS NOT NULL), []) AS seq
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id),
+members AS (
+  SELECT conv_id, d AS depth, seq[:d] AS path, len(seq) AS size
+  FROM whole, unnest(range(len(seq) + 1)) AS t(d)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth > 0 THEN (count(*) - 1) * strlen(path[depth].text) ELSE 0 END AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+      FILTER (size = depth), '')) AS ends_sha256
+  FROM members GROUP BY path, depth),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT seq[:d] AS path, sum(saved) AS saved, sum((k.n IS NULL)::INT) AS leaves
+  FROM (SELECT path AS seq, depth, saved FROM nodes) n LEFT JOIN kids k ON n.seq = k.path,
+    unnest(range(n.depth + 1)) AS t(d)
+  GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id,
+  n.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON n.path = s.path LEFT JOIN kids k ON n.path = k.path
+  LEFT JOIN nodes p ON n.depth > 0 AND n.path[:n.depth - 1] = p.path""",
     "op13_golden_mix": r"""
 WITH docs AS (
   SELECT doc_id, source,
