@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variegate.llm import (decontamination, html_text, language, lattice, mixing, neighbours, pieces,
-                           quality, sharding, simhash, suffixes, tries, url_filter)
+                           quality, sharding, simhash, suffixes, tries, url_filter, whitening)
 from variegate.llm.common import fold, table
 
 # The rules of the query.
@@ -97,6 +97,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -110,7 +114,7 @@ QUERIES = {f.__name__: f for f in (
     op1_bradley_terry, op2_simhash_pivots, op3_multiprobe, op4_language, op5_decontamination,
     op6_suffix_arrays, op7_kd_sharding,
     op8_sentence_pieces, op9_site_templates, op10_url_filter,
-    op12_prefix_trie, op13_golden_mix)}
+    op11_qdwh_whitening, op12_prefix_trie, op13_golden_mix)}
 
 ORACLES = {
     "op5_decontamination": r"""
