@@ -11,8 +11,10 @@ from variegate.functions import lists, words
 from variegate.functions.prompts import split_answer_id, split_query_id
 from variegate.functions.ratings import rating_columns
 from variegate.operators import diversity, embed, ledger, replies, scoring, statistics, tasks
+from variegate.functions.byte_pairs import read_ranks
 from variegate.operators.compression_distance import compression_distance
 from variegate.operators.self_bleu import self_bleu
+from variegate.operators.token_counts import answer_length_tokens as mean_tokens, token_totals
 from variegate.plans import corpus, reports
 from variegate.plans.corpus import DOCUMENT_KEYS, table
 from variegate.sources import readers, schemas
@@ -20,6 +22,7 @@ from variegate.sources import readers, schemas
 Query = Callable[[SparkSession, str], DataFrame]
 
 EMBEDDING_MODEL = "hashed-words"
+MERGES = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a public merge list; only the driver reads it
 ATTEMPT_RULES = {"min_items": 2, "max_items": 8, "min_tokens": 3}
 
 
@@ -322,6 +325,16 @@ def answer_length_words(spark: SparkSession, folder: str) -> DataFrame:
                                DOCUMENT_KEYS).select(*DOCUMENT_KEYS, six("answer_length"))
 
 
+def answer_length_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return mean_tokens(corpus.document_answers(table(spark, folder, "documents")), read_ranks(MERGES),
+                       DOCUMENT_KEYS).select(*DOCUMENT_KEYS, six("answer_length"))
+
+
+def token_counts_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each whole document."""
+    return token_totals(table(spark, folder, "documents"), ["doc_id"], "text", read_ranks(MERGES))
+
+
 def self_bleu_conversations(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.conversation_answers(table(spark, folder, "conversations"))
     return self_bleu(answers, ["query_idx"], tokenizer=words.whitespace_tokens) \
@@ -455,7 +468,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     judge_prompt_joined, flattened_tasks, flattened_answers, ratings_by_query,
     embedding_requests, rating_requests, parsed_ratings, unanswered_requests,
     ledger_first_entries, ledger_latest_entries, completed_batches, answer_counts,
-    answer_length, answer_length_words, self_bleu_conversations, self_bleu_documents,
+    answer_length, answer_length_words, answer_length_tokens, token_counts_documents, self_bleu_conversations, self_bleu_documents,
     self_bleu_words, compression_distance_documents, hashed_embedding_size,
     diversity_documents, context_diversity, context_diversity_summary,
     context_diversity_counts, mean_ci_documents, spearman_by_language, partial_spearman_total,

@@ -6,7 +6,7 @@ from variegate.functions.prompts import (CHAT_URL, EMBEDDING_URL, FUNCTION_NAME,
                                          MAX_COMPLETION_TOKENS, RUBRIC, TOOL_CALL_MODEL)
 from variegate.functions.significance import normal_quantile
 from variegate.functions.words import STOP_WORDS
-from variegate.plans.catalog import ATTEMPT_RULES, EMBEDDING_MODEL
+from variegate.plans.catalog import ATTEMPT_RULES, EMBEDDING_MODEL, MERGES
 
 SPACE = (r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -281,6 +281,43 @@ both_rho AS (
   FROM totals JOIN plain {join})"""
 
 
+WHITE = (r"\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+
+
+def merged_words(source: str) -> str:
+    """``words(id, word)`` of the texts of ``source(id, text)``, and ``sizes(word, n)``, their tokens.
+
+    Runs of white space and of other signs are taken apart first, as there is no look-ahead: a
+    blank at the end of a run goes to the word behind it, another sign stands alone. Each step then
+    joins the first pair of least rank in every word.
+    """
+    signs = quoted(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+")
+    return f"""RECURSIVE
+runs AS (
+  SELECT id, regexp_extract_all(text, {quoted(f'[{WHITE}]+|[^{WHITE}]+')}) AS r FROM ({source})),
+run AS (SELECT id, i, r[i] AS t, r[i - 1] AS before, i < len(r) AS inside,
+    regexp_full_match(r[i], {quoted(f'[{WHITE}]+')}) AS blank
+  FROM runs, unnest(range(1, len(r) + 1)) AS n(i)),
+words AS (
+  SELECT id, unnest(CASE
+    WHEN NOT blank THEN regexp_extract_all(
+      CASE WHEN i > 1 AND before[-1] = ' ' THEN ' ' ELSE '' END || t, {signs})
+    WHEN NOT inside THEN [t]
+    ELSE list_filter([t[:-2], CASE WHEN t[-1] = ' ' THEN '' ELSE t[-1] END], lambda x: x <> '')
+    END) AS word FROM run),
+ranks AS (
+  SELECT hex(from_base64(token)) AS h, rank FROM read_csv({quoted(MERGES)}, delim = ' ',
+    header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}})),
+steps AS (
+  SELECT DISTINCT word, regexp_extract_all(hex(encode(word)), '..') AS p FROM words
+  UNION ALL
+  SELECT word, list_concat(list_append(p[:i - 1], p[i] || p[i + 1]), p[i + 2:]) FROM (
+    SELECT word, any_value(p) AS p, arg_min(i, rank * 1000000 + i) AS i
+    FROM (SELECT word, p, i, p[i] || p[i + 1] AS h FROM steps, unnest(range(1, len(p))) AS n(i)) s
+      JOIN ranks USING (h) GROUP BY word)),
+sizes AS (SELECT word, min(len(p)) AS n FROM steps GROUP BY word)"""
+
+
 ORACLES: dict[str, str] = {
     "diversity_first_two": f"WITH {FIRST_TWO} SELECT label::BIGINT AS label, "
                            "round(score, 6) AS score FROM scores",
@@ -499,4 +536,16 @@ sums AS (
 SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic, n_answers,
        round(answer_length, 6) AS answer_length
 FROM sums FULL JOIN labels USING (doc_id)""",
+    "answer_length_tokens": f"""WITH {merged_words(
+        "SELECT doc_id || ':' || i AS id, l[i] AS text FROM (SELECT doc_id, "
+        + lines('text') + " AS l FROM documents), unnest(range(1, len(l) + 1)) AS n(i)")},
+totals AS (
+  SELECT split_part(id, ':', 1)::BIGINT AS doc_id, sum(n) AS n FROM words JOIN sizes USING (word)
+  GROUP BY 1)
+SELECT lang, doc_id, round(n / len({lines('text')}), 6) AS answer_length
+FROM documents LEFT JOIN totals USING (doc_id)""",
+    "token_counts_documents": f"""WITH {merged_words("SELECT doc_id AS id, text FROM documents")},
+totals AS (SELECT id AS doc_id, sum(n) AS n FROM words JOIN sizes USING (word) GROUP BY 1)
+SELECT doc_id, count(text)::BIGINT AS n_texts, coalesce(any_value(n), 0)::BIGINT AS n_tokens
+FROM documents LEFT JOIN totals USING (doc_id) GROUP BY doc_id""",
 }
