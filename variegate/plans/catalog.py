@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from variegate.functions import lists, words
 from variegate.functions.prompts import split_answer_id, split_query_id
 from variegate.functions.ratings import rating_columns
-from variegate.operators import diversity, embed, ledger, replies, scoring, statistics, tasks
+from variegate.operators import (diversity, embed, ledger, replies, scoring, sentences, statistics,
+                                 tasks)
 from variegate.functions.byte_pairs import read_ranks
 from variegate.operators.compression_distance import compression_distance
 from variegate.operators.self_bleu import self_bleu
@@ -335,6 +336,29 @@ def token_counts_documents(spark: SparkSession, folder: str) -> DataFrame:
     return token_totals(table(spark, folder, "documents"), ["doc_id"], "text", read_ranks(MERGES))
 
 
+def abbreviation_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    found = sentences.abbreviation_statistics(table(spark, folder, "documents"), "text")
+    return found.select("type", "n_stop", "n_plain", six("score"),
+                        (F.col("score") >= sentences.ABBREVIATION).alias("is_abbreviation"))
+
+
+def sentence_starters(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = sentences.fit_sentences(documents, "text")
+    found = sentences.starter_statistics(documents, "text", model.abbreviations)
+    return found.select("type", "n_starts", "n_all", F.round("score", 4).alias("score"),
+                        (F.col("score") >= sentences.STARTER).alias("is_starter"))
+
+
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences and words of each document, by borders learned from all documents."""
+    documents = table(spark, folder, "documents")
+    model = sentences.fit_sentences(documents, "text")
+    return documents.select(
+        "doc_id", long("n_sentences", F.size(sentences.sentences(F.col("text"), model))),
+        long("n_tokens", F.size(sentences.trained_tokens(F.col("text"), model))))
+
+
 def self_bleu_conversations(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.conversation_answers(table(spark, folder, "conversations"))
     return self_bleu(answers, ["query_idx"], tokenizer=words.whitespace_tokens) \
@@ -468,7 +492,8 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     judge_prompt_joined, flattened_tasks, flattened_answers, ratings_by_query,
     embedding_requests, rating_requests, parsed_ratings, unanswered_requests,
     ledger_first_entries, ledger_latest_entries, completed_batches, answer_counts,
-    answer_length, answer_length_words, answer_length_tokens, token_counts_documents, self_bleu_conversations, self_bleu_documents,
+    answer_length, answer_length_words, answer_length_tokens, token_counts_documents,
+    abbreviation_statistics, sentence_starters, sentence_counts, self_bleu_conversations, self_bleu_documents,
     self_bleu_words, compression_distance_documents, hashed_embedding_size,
     diversity_documents, context_diversity, context_diversity_summary,
     context_diversity_counts, mean_ci_documents, spearman_by_language, partial_spearman_total,

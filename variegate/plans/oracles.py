@@ -318,6 +318,60 @@ steps AS (
 sizes AS (SELECT word, min(len(p)) AS n FROM steps GROUP BY word)"""
 
 
+_OPEN = r"""^[\[({<"'«“‘„]+"""
+_CLOSE = r"""[\])}>"'»”’]*$"""
+_BARE = replace_all("t", _OPEN + r"""|[\])}>"'»”’,;:!?]+$""", "''")
+_ENDS = rf"(?:[^.]\.|[!?]){_CLOSE}"
+
+BORDERS = f"""
+texts AS (SELECT doc_id, {tokens('text')} AS ts FROM documents),
+pairs AS (
+  SELECT doc_id, i, ts[i] AS token, CASE WHEN i > 1 THEN ts[i - 1] END AS before,
+    CASE WHEN i < len(ts) THEN ts[i + 1] END AS following
+  FROM texts, unnest(range(1, len(ts) + 1)) AS n(i)),
+cores AS (
+  SELECT *, {_BARE.replace('(t,', '(token,')} AS core, {_BARE.replace('(t,', '(before,')} AS core_before,
+    {_BARE.replace('(t,', '(following,')} AS core_following FROM pairs),
+kinds AS (
+  SELECT *, lower(regexp_replace(core, '\\.+$', '')) AS type,
+    lower(regexp_replace(core_before, '\\.+$', '')) AS type_before,
+    lower(regexp_replace(core_following, '\\.+$', '')) AS type_following,
+    regexp_matches(core, '[^.]\\.$') AS stop, regexp_matches(core_before, '[^.]\\.$') AS stop_before,
+    regexp_matches(token, {quoted(_ENDS)}) AS ends, regexp_matches(before, {quoted(_ENDS)}) AS ends_before
+  FROM cores),
+stops AS (
+  SELECT type, count(*) FILTER (stop) AS n_stop, count(*) FILTER (NOT stop) AS n_plain,
+    len(type) - len(replace(type, '.', '')) AS inner_stops FROM kinds GROUP BY type),
+ratio AS (
+  SELECT *, sum(n_stop) OVER ()::DOUBLE / sum(n_stop + n_plain) OVER ()::DOUBLE AS p,
+    len(type) - inner_stops AS size FROM stops),
+abbreviations AS (
+  SELECT type, n_stop, n_plain, 2 * (n_stop * ln(0.99::DOUBLE) + n_plain * ln(1 - 0.99::DOUBLE)
+      - n_stop * ln(p + 1e-8) - n_plain * ln(1 - p + 1e-8))
+    * exp(-size) * (inner_stops + 1) * pow(size::DOUBLE, -n_plain) AS score
+  FROM ratio WHERE n_stop > 0 AND regexp_matches(type, '\\p{{L}}')),
+short AS (SELECT coalesce(list(type), []) AS a FROM abbreviations WHERE score >= 0.3)"""
+
+STARTERS = f"""{BORDERS},
+behind AS (
+  SELECT type, count(*) FILTER (coalesce(ends_before
+      AND NOT (list_contains(a, type_before) AND stop_before), false)) AS n_starts, count(*) AS n_all
+  FROM kinds, short GROUP BY type),
+shares AS (
+  SELECT *, sum(n_starts) OVER ()::DOUBLE AS b, sum(n_all) OVER ()::DOUBLE AS n FROM behind),
+chances AS (
+  SELECT *, n_starts / b AS x, (n_all - n_starts) / (n - b) AS y, n_all / n AS m,
+    b - n_starts AS rest, (n - b) - (n_all - n_starts) AS others FROM shares),
+starters AS (
+  SELECT type, n_starts, n_all, CASE WHEN x > m THEN 2 * (
+      n_starts * ln(x + 1e-8) + rest * ln(1 - x + 1e-8)
+      + (n_all - n_starts) * ln(y + 1e-8) + others * ln(1 - y + 1e-8)
+      - n_starts * ln(m + 1e-8) - rest * ln(1 - m + 1e-8)
+      - (n_all - n_starts) * ln(m + 1e-8) - others * ln(1 - m + 1e-8)) ELSE 0 END AS score
+  FROM chances WHERE n_starts > 0 AND regexp_matches(type, '\\p{{L}}')),
+first AS (SELECT coalesce(list(type), []) AS s FROM starters WHERE score >= 30)"""
+
+
 ORACLES: dict[str, str] = {
     "diversity_first_two": f"WITH {FIRST_TWO} SELECT label::BIGINT AS label, "
                            "round(score, 6) AS score FROM scores",
@@ -548,4 +602,24 @@ FROM documents LEFT JOIN totals USING (doc_id)""",
 totals AS (SELECT id AS doc_id, sum(n) AS n FROM words JOIN sizes USING (word) GROUP BY 1)
 SELECT doc_id, count(text)::BIGINT AS n_texts, coalesce(any_value(n), 0)::BIGINT AS n_tokens
 FROM documents LEFT JOIN totals USING (doc_id) GROUP BY doc_id""",
+    "abbreviation_statistics": f"""WITH {BORDERS}
+SELECT type, n_stop, n_plain, round(score, 6) + 0.0 AS score, score >= 0.3 AS is_abbreviation
+FROM abbreviations""",
+    "sentence_starters": f"""WITH {STARTERS}
+SELECT type, n_starts, n_all, round(score, 4) AS score, score >= 30 AS is_starter FROM starters""",
+    "sentence_counts": f"""WITH {STARTERS},
+judged AS (
+  SELECT doc_id, i, token, ends, stop AND ends AND list_contains(a, type) AND following IS NOT NULL
+    AND NOT (regexp_matches(following, {quoted('(?:' + _OPEN + r')?\p{Lu}')})
+      AND list_contains(s, type_following)) AS held
+  FROM kinds, short, first),
+texts_held AS (
+  SELECT doc_id, count(*) FILTER (ends AND NOT held)
+      + (NOT coalesce(arg_max(ends AND NOT held, i), true))::INT AS n_sentences,
+    string_agg(CASE WHEN held THEN regexp_replace(token, {quoted(r"\.(" + _CLOSE + ")")}, '_\1')
+      ELSE token END, ' ' ORDER BY i) AS text
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences,
+  coalesce(len({word_tokens('h.text')}), 0)::BIGINT AS n_tokens
+FROM documents LEFT JOIN texts_held h USING (doc_id)""",
 }
