@@ -9,26 +9,37 @@ from pyspark.sql import types as T
 
 from variegate.functions.ratings import rating_columns, rating_text
 from variegate.sources import schemas
+from variegate.sources.arrays import parsed, read_items
 
 CORRUPT = "_corrupt_record"
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """A task set: one JSON array per file, or the flat table as parquet."""
+    """A task set: one JSON array, of any size and in one or more parts, or flat parquet."""
     if _is_parquet(path):
         return spark.read.schema(schemas.TASKS).parquet(path)
-    return flatten_tasks(_json_documents(spark, path, schemas.TASK_SET_JSON))
+    items = read_items(spark, path)
+    tasks = items.select(F.col("at")[0].alias("task_idx"),
+                         parsed(F.col("item"), schemas.TASK_JSON).alias("task"))
+    return _queries_of(tasks)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """Answers nested by task and query, one JSON array per file, or flat parquet."""
+    """Answers nested by task and query: one JSON array, of any size and in one or more parts, or
+    flat parquet. A query without answers keeps one row with nulls."""
     if _is_parquet(path):
         return spark.read.schema(schemas.ANSWERS).parquet(path)
-    return flatten_answers(_json_documents(spark, path, schemas.ANSWERS_JSON))
+    items = read_items(spark, path, 2)
+    return items.select(
+        F.col("at")[0].alias("task_idx"), F.col("at")[1].alias("query_idx"),
+        F.posexplode_outer(parsed(F.col("item"), "array<string>")).alias("answer_idx", "answer"))
 
 
 def flatten_tasks(documents: DataFrame, column: str = "document") -> DataFrame:
-    tasks = documents.select(F.posexplode(column).alias("task_idx", "task"))
+    return _queries_of(documents.select(F.posexplode(column).alias("task_idx", "task")))
+
+
+def _queries_of(tasks: DataFrame) -> DataFrame:
     return tasks.select(
         "task_idx", "task.task_name", "task.task_name_original", "task.task_prompt",
         F.posexplode("task.task_list").alias("query_idx", "query"))
@@ -124,18 +135,6 @@ def _is_parquet(path: str) -> bool:
     return not path.endswith((".json", ".json.gz"))
 
 
-def _json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The one document under ``path``. Positions in it become keys, so a second file, whose
-    positions would be the same, is an error; so is text that is not a document of the schema."""
-    text = spark.read.text(path, wholetext=True)
-    files = text.inputFiles()
-    if len(files) > 1:
-        raise ValueError(f"{len(files)} files under {path}, whose positions would collide")
-    if text.isEmpty():
-        raise ValueError(f"no document under {path}")
-    return parsed_documents(text, "value", schema)
-
-
 def parsed_documents(df: DataFrame, column: str, schema: str,
                      keep: list[str] | None = None) -> DataFrame:
     """``keep`` and ``document``, parsed from JSON text; text that is no document is an error."""

@@ -16,8 +16,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 QUERY_KEYS = ["task_idx", "query_idx"]
 RUN_KEYS = ["env", "embedding_model", "generation_model", "answer_only"]
 
-TASK_SET_JSON = ("array<struct<task_name: string, task_name_original: string, "
-                 "task_prompt: string, task_list: array<string>>>")
+TASK_JSON = ("struct<task_name: string, task_name_original: string, "
+             "task_prompt: string, task_list: array<string>>")
+TASK_SET_JSON = f"array<{TASK_JSON}>"
 ANSWERS_JSON = "array<array<array<string>>>"
 
 TASKS = _struct(task_idx=INT, task_name=TEXT, task_name_original=TEXT, task_prompt=TEXT,
