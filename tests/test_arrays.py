@@ -110,3 +110,57 @@ def test_many_answers_in_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(tuple, rows)) == [(t, q, a, f"answer {t}, {q}, {a}") for t in range(5)
                                         for q in range(200) for a in range(20)]
+
+
+def nested(rows):
+    """Rows of task, query, place and answer as lists of lists."""
+    out = []
+    for i, (t, q, a, text) in enumerate(rows):
+        if i == 0 or t != rows[i - 1][0]:
+            out.append([])
+        if i == 0 or (t, q) != rows[i - 1][:2]:
+            out[-1].append([])
+        if a is not None:
+            out[-1][-1].append(text)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_nested_export(spark, tmp_path, partitions):
+    rows = [(t, q, a, f'text "{t}", [{q}]\n{a} ü\\') for t in (0, 2, 3) for q in range(7) for a in range(q % 4)]
+    rows += [(1, 0, None, None), (3, 3, 50, None), (3, 9, None, None)]
+    rows.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2]))
+    df = spark.createDataFrame(rows, "task_idx int, query_idx int, answer_idx int, answer string")
+    wanted = {"spark.sql.shuffle.partitions": str(partitions),
+              "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in wanted}
+    path = tmp_path / "out.json"
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        arrays.write_nested(df.repartition(3), str(path))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    parts = sorted(path.glob("part-*.txt"))
+    assert len(parts) >= min(partitions, 2)
+    doc = json.loads("".join(p.read_text(encoding="utf-8") for p in parts))
+    assert doc == nested(rows)
+    found = {tuple(r) for r in readers.read_answers(spark, str(path)).collect()}
+    assert found == {(t, q, a, text) for t, task in enumerate(doc) for q, query in enumerate(task)
+                     for a, text in (enumerate(query) if query else [(None, None)])}
+
+
+def test_nested_export_of_nothing_and_of_vectors(spark, tmp_path):
+    none = spark.createDataFrame([], "task_idx int, query_idx int, answer_idx int, answer string")
+    arrays.write_nested(none, str(tmp_path / "none.json"))
+    assert readers.read_answers(spark, str(tmp_path / "none.json")).count() == 0
+    vectors = spark.createDataFrame([(0, 0, 1, [1.5, 2.0]), (0, 0, 0, [0.25])],
+                                    "task_idx int, query_idx int, answer_idx int, v array<float>")
+    arrays.write_nested(vectors, str(tmp_path / "v.json"), value="v")
+    assert read(spark, tmp_path / "v.json", 3) == {(0, 0, 0): [0.25], (0, 0, 1): [1.5, 2.0]}
+
+
+def test_parts_are_in_the_order_of_their_numbers():
+    names = ["p/part-100000-a", "p/part-99999-a", "p/part-00007-a"]
+    assert sorted(names, key=arrays._in_order) == names[::-1]

@@ -18,7 +18,8 @@ from variegate.operators.self_bleu import self_bleu
 from variegate.operators.token_counts import answer_length_tokens as mean_tokens, token_totals
 from variegate.plans import corpus, reports
 from variegate.plans.corpus import DOCUMENT_KEYS, table
-from variegate.sources import readers, schemas
+from variegate.session import shared_folder
+from variegate.sources import readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -246,6 +247,17 @@ def flattened_answers(spark: SparkSession, folder: str) -> DataFrame:
                        "answer")
 
 
+def exported_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies of all conversations, written as one nested array in parts and read again."""
+    conversations = table(spark, folder, "conversations")
+    listed = corpus.conversation_tasks(conversations).select(*schemas.QUERY_KEYS)
+    answers = listed.join(corpus.conversation_answers(conversations), schemas.QUERY_KEYS, "left")
+    path = shared_folder(spark, "answers") + ".json"
+    writers.write_nested_answers(answers, path)
+    return readers.read_answers(spark, path).select(
+        long("task_idx"), long("query_idx"), long("answer_idx"), "answer")
+
+
 def embedding_requests(spark: SparkSession, folder: str) -> DataFrame:
     texts = tasks.contextualize(_context(spark, folder))
     requests = tasks.embedding_requests(texts, "my-env", EMBEDDING_MODEL)
@@ -489,7 +501,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     extract_items_rendered, extract_items_plain, meaningful_items, valid_attempts,
     selected_replies, selected_answers, pending_queries, attempt_log, attempt_summary,
     generation_messages, contextualized_text, judge_prompts, judge_prompt_parts,
-    judge_prompt_joined, flattened_tasks, flattened_answers, ratings_by_query,
+    judge_prompt_joined, flattened_tasks, flattened_answers, exported_answers, ratings_by_query,
     embedding_requests, rating_requests, parsed_ratings, unanswered_requests,
     ledger_first_entries, ledger_latest_entries, completed_batches, answer_counts,
     answer_length, answer_length_words, answer_length_tokens, token_counts_documents,

@@ -622,4 +622,13 @@ texts_held AS (
 SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences,
   coalesce(len({word_tokens('h.text')}), 0)::BIGINT AS n_tokens
 FROM documents LEFT JOIN texts_held h USING (doc_id)""",
+    "exported_answers": """
+WITH said AS (
+  SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+listed AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS n
+  FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT 0::BIGINT AS task_idx, n::BIGINT AS query_idx,
+  CASE WHEN turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 END
+    ::BIGINT AS answer_idx, text AS answer
+FROM listed LEFT JOIN said USING (conv_id)""",
 }

@@ -98,9 +98,16 @@ def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              ("octets", pa.int64()), ("filled", pa.bool_()), ("ends", pa.string())]))
 
 
+def _in_order(name: str) -> list:
+    """Names by their text and numbers, so that part 99999 comes before part 100000."""
+    return [int(bit) if bit.isdigit() else bit for bit in re.split(r"(\d+)", name)]
+
+
 def _states(summary: list) -> dict[tuple[str, int], tuple]:
-    """For each block the state before it, and whether a comma that ends its file follows it."""
-    blocks = sorted(summary, key=lambda r: (r["file"], r["block"]))
+    """For each block the place of its file, the state before it, and whether its file ends with a
+    comma that follows it."""
+    blocks = sorted(summary, key=lambda r: (_in_order(r["file"]), r["block"]))
+    places = {file: i for i, file in enumerate(dict.fromkeys(r["file"] for r in blocks))}
     octets: dict[str, int] = {}
     for r in blocks:
         octets[r["file"]] = octets.get(r["file"], 0) + r["octets"]
@@ -113,7 +120,8 @@ def _states(summary: list) -> dict[tuple[str, int], tuple]:
         last = i + 1 == len(blocks)
         ends_file = last or blocks[i + 1]["file"] != r["file"]
         comma = ends_file and octets[r["file"]] < r["size"]
-        states[r["file"], r["block"]] = (walk.inside, walk.depth, dict(walk.places), comma)
+        states[r["file"], r["block"]] = (places[r["file"]], walk.inside, walk.depth,
+                                         dict(walk.places), comma)
         base = walk.depth
         if own["least"] is not None:
             if base + own["least"] <= 0:
@@ -131,18 +139,19 @@ def _states(summary: list) -> dict[tuple[str, int], tuple]:
 
 def _cutting(sent, level: int):
     """Pieces to items: path, order, text, depth before and after, and whether that is all of it."""
-    schema = pa.schema([("at", pa.list_(pa.int32())), ("file", pa.string()), ("block", pa.int64()),
+    schema = pa.schema([("at", pa.list_(pa.int32())), ("file", pa.int32()), ("block", pa.int64()),
                         ("part", pa.int32()), ("text", pa.string()), ("head", pa.int32()),
                         ("tail", pa.int32()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, walk, held, begun, head, at, part, comma = None, None, [], False, 0, None, 0, False
+        number = 0
         out, chars = [], 0
 
         def put(whole: bool, more: str = "") -> None:
             nonlocal held, chars, part
             text = ",".join(held) + more
-            out.append({"at": at, "file": key[0], "block": key[1], "part": part, "text": text,
+            out.append({"at": at, "file": number, "block": key[1], "part": part, "text": text,
                         "head": head if begun else None, "tail": walk.depth, "whole": whole})
             held, part = [], part + 1
             chars += len(text)
@@ -157,7 +166,7 @@ def _cutting(sent, level: int):
                     if key is not None:
                         put(False, "," if comma else "")
                     key, part = (file, block), 0
-                    inside, depth, places, comma = sent.value[key]
+                    number, inside, depth, places, comma = sent.value[key]
                     walk = _Walk(inside, depth, places)
                     begun, head, at = False, walk.depth, path()
                 if not first or block:
@@ -230,7 +239,7 @@ def read_items(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
         raise ValueError(f"no document under {path}")
     sent = spark.sparkContext.broadcast(_states(summary))
     cut = cut_lineage(pieces.select("file", "block", "value").mapInArrow(
-        _cutting(sent, level), "at array<int>, file string, block long, part int, text string, "
+        _cutting(sent, level), "at array<int>, file int, block long, part int, text string, "
                                "head int, tail int, whole boolean"))
     sent.unpersist()
     place = F.struct("file", "block", "part")
@@ -251,3 +260,63 @@ def parsed(item: Column, schema: str) -> Column:
     problem = F.raise_error(F.concat(F.lit("not an item of the expected form: "), F.substring(item, 1, 80)))
     return F.when(item == "null", F.lit(None).cast(schema)).when(value.isNotNull(), value) \
         .otherwise(problem.cast(schema))
+
+
+def _joining(sent):
+    """Rows in order to the lines of a nested array, each with the signs between it and the last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, ending = None, ""
+        for batch in batches:
+            lines = []
+            for part, outer, inner, there, value in zip(*[
+                    batch[c].to_pylist() for c in ("part", "outer", "inner", "there", "value")]):
+                if before is None:
+                    before, ending = sent.value[part]
+                if before[0] is None:
+                    lead = "[[["
+                elif outer != before[0]:
+                    lead = "]],[["
+                elif inner != before[1]:
+                    lead = "],["
+                else:
+                    lead = "," if before[2] else ""
+                lines.append(lead + (value if there else ""))
+                before = (outer, inner, there)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if ending:
+            yield pa.RecordBatch.from_arrays([pa.array([ending], pa.string())], names=["value"])
+
+    return run
+
+
+def write_nested(df: DataFrame, path: str, value: str = "answer", order: str = "answer_idx",
+                 keys: tuple[str, str] = ("task_idx", "query_idx"),
+                 mode: str = "errorifexists") -> None:
+    """Write rows as one nested JSON array, in parts that make it up in the order of their names.
+
+    The array has one array for each value of the first key, in order, that holds one for each value
+    of the second, and that one the values by ``order``. A row whose order is null lists its keys
+    only; a null value is a null. Equal rows are written as often as they are there. Rows are sorted
+    over all tasks, and each part begins with the signs that the last row before it calls for, of
+    which one for each part reaches the driver. Without rows the array is empty.
+    """
+    spark = df.sparkSession
+    own = df.select(F.col(keys[0]).alias("outer"), F.col(keys[1]).alias("inner"),
+                    F.col(order).alias("order"), F.to_json(F.array(value), {"ignoreNullFields": "false"})
+                    .alias("value"))
+    by = [F.col(c).asc_nulls_first() for c in ("outer", "inner", "order", "value")]
+    rows = cut_lineage(own.repartitionByRange(*by).sortWithinPartitions(*by)) \
+        .withColumn("part", F.spark_partition_id())
+    last = F.struct("outer", "inner", F.col("order").isNotNull().alias("there"))
+    ends = rows.groupBy("part").agg(F.max(last).alias("last")).orderBy("part").collect()
+    if not ends:
+        spark.createDataFrame([("[]",)], "value string").write.mode(mode).text(path)
+        return
+    before, starts = (None, None, False), {}
+    for i, r in enumerate(ends):
+        starts[r["part"]] = (before, "]]]" if i + 1 == len(ends) else "")
+        before = tuple(r["last"])
+    sent = spark.sparkContext.broadcast(starts)
+    inside = F.substring("value", F.lit(2), F.char_length("value") - 2)
+    rows.select("part", "outer", "inner", F.col("order").isNotNull().alias("there"), inside.alias("value")) \
+        .mapInArrow(_joining(sent), "value string").write.mode(mode).text(path)

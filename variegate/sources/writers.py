@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from variegate.functions.prompts import request_line
 from variegate.sources import schemas
+from variegate.sources.arrays import write_nested
 from variegate.sources.readers import read_ledger
 
 
@@ -14,6 +15,12 @@ def write_answers(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     _write_parquet(df, path, mode)
 
 
+def write_nested_answers(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Answers as one JSON array by task and query, in parts; a path that ends in ``.json`` is
+    read again by ``read_answers``."""
+    write_nested(df, path, mode=mode)
+
+
 def write_embeddings(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     _write_parquet(df, path, mode)
 
