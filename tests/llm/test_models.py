@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from variegate.llm import language, lattice, quality
+from variegate.llm import language, quality
+from variegate.llm.vocabulary import read_vocabulary
 from variegate.llm.queries import VOCABULARY, op1_bradley_terry, op4_language
 
 
@@ -25,7 +26,7 @@ def model(spark):
         "de": ["das haus und der garten", "das ist was sie dazu denken"]}.items()
         for i, t in enumerate(texts * 20)] + [(90, None, "en"), (91, "nothing", None)]
     return language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"),
-                        lattice.read_vocabulary(VOCABULARY))
+                        read_vocabulary(VOCABULARY))
 
 
 def test_language_odd_rows(spark, model):
@@ -43,7 +44,7 @@ def test_language_odd_rows(spark, model):
 
 def test_language_without_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
-    model = language.fit(empty, lattice.read_vocabulary(VOCABULARY))
+    model = language.fit(empty, read_vocabulary(VOCABULARY))
     docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
     assert [r.lang_pred for r in language.predict(docs, model).collect()] == ["und"]
     assert language.predict(docs.limit(0), model).count() == 0

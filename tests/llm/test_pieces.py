@@ -8,13 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variegate.llm import lattice, pieces
+from variegate.llm import lattice, pieces, vocabulary as vocabularies
 from variegate.llm.queries import VOCABULARY
 
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return lattice.read_vocabulary(VOCABULARY)
+    return vocabularies.read_vocabulary(VOCABULARY)
 
 
 def walk(trie, key):
@@ -32,7 +32,7 @@ def test_double_array():
     rng = random.Random(1)
     keys = {bytes(rng.choices(range(256), k=rng.randint(1, 6))): i for i in range(3000)}
     keys |= {b"a" * k: 5000 + k for k in range(1, 20)}
-    trie = lattice.double_array(keys)
+    trie = vocabularies.double_array(keys)
     for key, value in keys.items():
         assert walk(trie, key) == value
     for _ in range(3000):
@@ -51,7 +51,7 @@ def small():
         names.append(key)
     scores = np.full(len(names), -np.inf)
     scores[256:] = np.log(np.random.default_rng(3).random(len(names) - 256))
-    base, check, value = lattice.double_array(keys)
+    base, check, value = vocabularies.double_array(keys)
     return {"base": base, "check": check, "value": value, "scores": scores, "names": names,
             "byte_ids": np.arange(256, dtype=np.int32), "fallback": -20.0, "longest": 4}
 
@@ -93,9 +93,12 @@ def test_long_words_as_short_ones(small, monkeypatch):
     words = [b"abcabdabcca" * 3, b"abc" * 20]
     chances = np.random.default_rng(6).random((len(small["names"]), 2)) / 50
     best, sums = lattice.best_pieces(small, words), lattice.log_sums(small, words, chances)
+    weights, one = np.array([2.0, 0.5]), chances[:, 0].copy()
+    counts = lattice.expected_counts(small, words, weights, one)
     monkeypatch.setattr(lattice, "LONG", 5)
     assert lattice.best_pieces(small, words) == best
     np.testing.assert_allclose(lattice.log_sums(small, words, chances), sums)
+    np.testing.assert_allclose(lattice.expected_counts(small, words, weights, one), counts, atol=1e-12)
 
 
 TEXTS = ["Hello world", "", None, " ", "  two  blanks ", "line\nbreaks\n\n and\ttabs\r", "▁ marker ▁▁x",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,28 @@ def lean_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, and at its end the memory it has used goes back to the system.
+
+    Workers are used again by tasks of other stages; without this each would keep the most that any
+    of them has needed.
+    """
+    def tidied(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # a C library without it
+                pass
+
+    return tidied
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one of the given tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)

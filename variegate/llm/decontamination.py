@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variegate.llm.common import lean_batches, without, written
+from variegate.llm.common import lean_batches, tidy, without, written
 
 # What separates words, in bytes; every byte from 0x80 belongs to a word.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -97,8 +97,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text",
         own = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
         rows = own.select("window", "items").collect()  # at most about AUTOMATON_BYTES
         sent = docs.sparkSession.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
-        found = found.mapInArrow(_scanner(sent, text), found.schema)
-    return found.mapInArrow(_finisher(text), _with_results(docs))
+        found = found.mapInArrow(tidy(_scanner(sent, text)), found.schema)
+    return found.mapInArrow(tidy(_finisher(text)), _with_results(docs))
 
 
 def _with_results(docs: DataFrame) -> T.StructType:

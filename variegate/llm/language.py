@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
-from variegate.llm.common import lean_batches, without, written
+from variegate.llm.common import lean_batches, tidy, without, written
 
 LETTER = regex.compile(r"\p{L}")
 SAMPLE = 1500  # documents of each language that a model is fitted on
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, vocabulary: dict, limit: int = SAMPLE,
                  pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     words = written(sampled(docs, limit).select("lang", "text")
-                    .mapInArrow(count, "lang string, word binary, n long")
+                    .mapInArrow(tidy(count), "lang string, word binary, n long")
                     .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
     start = np.exp(np.where(np.isfinite(vocabulary["scores"]), vocabulary["scores"], -50.0))
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, vocabulary: dict, limit: int = SAMPLE,
     context = docs.sparkSession.sparkContext
     for _ in range(rounds if languages else 0):
         sent = context.broadcast((vocabulary, languages, chances))
-        found = words.mapInArrow(_expecting(sent), "lang int, piece int, expected double") \
+        found = words.mapInArrow(tidy(_expecting(sent)), "lang int, piece int, expected double") \
             .groupBy("lang", "piece").agg(F.sum("expected")).collect()
         counts = np.zeros_like(chances)
         for lang, piece, expected in found:
@@ -195,4 +195,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score)],
                 names=[*batch.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
-MARKER = "▁"  # a blank, as the vocabulary writes it
 BLANK = b"\xff"
 LONG = 64  # bytes; longer words are handled one by one
 WORDS_AT_ONCE = 4096
@@ -21,93 +19,6 @@ WORDS_AT_ONCE = 4096
 SCALE = 4.0
 
 
-@lru_cache(maxsize=2)
-def read_vocabulary(path: str) -> dict:
-    """Pieces, byte pieces and log scores of a SentencePiece model with byte fallback.
-
-    The scores of a merge list are ranks, so the log score of a piece is taken by Zipf's law
-    from its rank: ``-ln(rank + 10)``, less the log of the sum. A byte that stands for itself
-    costs 10 more than the rarest piece. Read on the driver; the result holds arrays of a
-    size set by the vocabulary.
-    """
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names, byte_ids = [], np.full(256, -1, np.int32)
-    keys: dict[bytes, int] = {}
-    for i in range(model.get_piece_size()):
-        name = model.id_to_piece(i)
-        if model.is_byte(i):
-            byte_ids[int(name[1:-1], 16)] = i
-            names.append(bytes([int(name[1:-1], 16)]))
-            continue
-        names.append(name.replace(MARKER, " ").encode())
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            keys[name.encode().replace(MARKER.encode(), BLANK)] = i
-    if (byte_ids < 0).any():
-        raise ValueError(f"{path} has no piece for every byte")
-    for key in keys:
-        if BLANK in key.lstrip(BLANK) or (b"\n" in key and key != b"\n"):
-            raise ValueError(f"piece {key!r} reaches across words")
-    scores = np.full(len(names), -np.inf)
-    ranked = sorted(keys.values(), key=lambda i: (-model.get_score(i), i))
-    scores[ranked] = -np.log(np.arange(len(ranked)) + 10.0)
-    scores -= np.log(np.exp(scores).sum())
-    base, check, value = double_array(keys)
-    return {"base": base, "check": check, "value": value, "scores": scores, "names": names,
-            "byte_ids": byte_ids, "fallback": float(scores[ranked].min()) - 10.0,
-            "longest": max(map(len, keys))}
-
-
-def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``base, check, value``: byte ``c`` leads from node ``s`` to ``t = base[s] + c + 1`` if
-    ``check[t] == s``; ``value[t]`` is the piece that ends there or -1. Node 0 is the root."""
-    names = sorted(keys)
-    room = 512
-    base, check, value = [0] * room, [-1] * room, [-1] * room
-    check[0] = 0
-    waiting = [(0, 0, len(names), 0)]
-    first = {True: 1, False: 1}  # where to look for room, for one child and for several
-    while waiting:
-        node, low, high, depth = waiting.pop()
-        if low < high and len(names[low]) == depth:
-            value[node] = keys[names[low]]
-            low += 1
-        children = []
-        while low < high:
-            byte, end = names[low][depth], low
-            while end < high and names[end][depth] == byte:
-                end += 1
-            children.append((byte + 1, low, end))
-            low = end
-        if not children:
-            continue
-        alone = len(children) == 1
-        at = first[alone]
-        while True:
-            while at < len(check) and check[at] != -1:
-                at += 1
-            start = at - children[0][0]
-            need = max(start, 0) + 258
-            if need > len(check):
-                grow = max(need, 2 * len(check)) - len(check)
-                base += [0] * grow
-                check += [-1] * grow
-                value += [-1] * grow
-            if start >= 0 and all(check[start + c] == -1 for c, _, _ in children):
-                break
-            at += 1
-        if alone or at > first[alone] + 256:
-            first[alone] = at
-        base[node] = start
-        for code, begin, end in children:
-            check[start + code] = node
-            waiting.append((start + code, begin, end, depth + 1))
-    pad = [0] * 258
-    return (np.array(base + pad, np.int32), np.array(check + [-1] * 258, np.int32),
-            np.array(value + [-1] * 258, np.int32))
-
-
 def alike(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of words of one length, and their bytes as a matrix; long words are left out."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -271,10 +182,7 @@ def _log_sums_of_long(vocabulary: dict, word: bytes, chances: np.ndarray) -> np.
 
 def expected_counts(vocabulary: dict, words: list[bytes], weights: np.ndarray,
                     chances: np.ndarray) -> np.ndarray:
-    """Forward and backward: how often each piece is expected in the words, by its ``chances``.
-
-    Words over ``LONG`` bytes are left out of the estimate.
-    """
+    """Forward and backward: how often each piece is expected in the words, by its ``chances``."""
     out = np.zeros(len(chances))
     byte_ids = vocabulary["byte_ids"]
     scaled = [chances * math.exp(SCALE * size) for size in range(vocabulary["longest"] + 1)]
@@ -303,4 +211,37 @@ def expected_counts(vocabulary: dict, words: list[bytes], weights: np.ndarray,
             pieces = byte_ids[codes[:, start]]
             out += np.bincount(pieces, ahead[start] * scaled[1][pieces] * behind[start + 1]
                                * share, len(out))
+    for word, weight in zip(words, weights):
+        if len(word) > LONG:
+            _expect_in_long(vocabulary, word, weight, chances, out)
     return out
+
+
+def _expect_in_long(vocabulary: dict, word: bytes, weight: float, chances: np.ndarray,
+                    out: np.ndarray) -> None:
+    """Add the counts of one word to ``out``, with sums in logs; every piece is met twice."""
+    base, check, value = (vocabulary[k] for k in ("base", "check", "value"))
+    with np.errstate(divide="ignore"):
+        logs = np.log(chances)
+    size = len(word)
+
+    def pieces_from(start: int) -> Iterator[tuple[int, int]]:
+        yield start + 1, int(vocabulary["byte_ids"][word[start]])
+        state = 0
+        for end in range(start + 1, size + 1):
+            step = int(base[state]) + word[end - 1] + 1
+            if check[step] != state:
+                return
+            state = step
+            if value[state] >= 0:
+                yield end, int(value[state])
+
+    ahead, behind = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    ahead[0] = behind[size] = 0.0
+    for start in range(size):
+        for end, piece in pieces_from(start):
+            ahead[end] = np.logaddexp(ahead[end], ahead[start] + logs[piece])
+    for start in range(size - 1, -1, -1):
+        for end, piece in pieces_from(start):
+            behind[start] = np.logaddexp(behind[start], behind[end] + logs[piece])
+            out[piece] += weight * math.exp(ahead[start] + logs[piece] + behind[end] - ahead[size])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variegate.llm import lattice
-from variegate.llm.common import lean_batches, without
+from variegate.llm.common import lean_batches, tidy, without
 
 # Blanks with the word after them; a line feed is a word of its own.
 WORD = re.compile(rb"\xff+[^\xff\n]*|[^\xff\n]+|\n")
@@ -88,7 +88,7 @@ def encode(docs: DataFrame, vocabulary: dict, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ids],
                                              names=[*batch.schema.names, "piece_ids"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, vocabulary: dict, ids: str = "piece_ids") -> DataFrame:
@@ -117,7 +117,7 @@ def decode(rows: DataFrame, vocabulary: dict, ids: str = "piece_ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())],
                                              names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 

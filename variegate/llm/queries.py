@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variegate.llm import (decontamination, html_text, language, lattice, mixing, neighbours, pieces,
+from variegate.llm import (decontamination, html_text, language, mixing, neighbours, pieces,
                            quality, sharding, simhash, suffixes, tries, url_filter, whitening)
 from variegate.llm.common import fold, table
+from variegate.llm.vocabulary import read_vocabulary
 
 # The rules of the query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -41,7 +42,7 @@ def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
-    model = language.fit(docs.where(~held_out), lattice.read_vocabulary(VOCABULARY))
+    model = language.fit(docs.where(~held_out), read_vocabulary(VOCABULARY))
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
@@ -71,7 +72,7 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces, byte pieces and a digest of the ids of every text, and whether it decodes to itself."""
-    vocabulary = lattice.read_vocabulary(VOCABULARY)
+    vocabulary = read_vocabulary(VOCABULARY)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     rows = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
     low, high = int(vocabulary["byte_ids"].min()), int(vocabulary["byte_ids"].max())

@@ -10,14 +10,14 @@ reference fingerprints discards every pair that differs by more than three in an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variegate.llm.common import checked_broadcast, lean_batches, written
+from variegate.llm.common import checked_broadcast, lean_batches, tidy, written
 from variegate.llm.components import connected
 
 SHINGLE = 3
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(found)],
                                              names=[*keep, "__fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def refine(mask: int) -> list[int]:
@@ -104,7 +104,7 @@ def linked_pairs(prints: DataFrame, large: int = LARGE) -> DataFrame:
         shared = keyed.join(checked_broadcast(sizes), ["__mask", "__key"])
         small = shared.where(F.col("__n") <= large).repartition("__mask", "__key") \
             .sortWithinPartitions("__mask", "__key").select("__mask", "__key", "__fp", "__at")
-        links = small.mapInArrow(_link_runs, "a long, b long")
+        links = small.mapInArrow(tidy(_link_runs), "a long, b long")
         out = links if out is None else out.union(links)
         hot = [r[0] for r in sizes.where(F.col("__n") > large).select("__mask").distinct().collect()]
         if not hot:  # masks are a fixed set, four times as many in each round
@@ -218,16 +218,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "doc_id", printed.alias("fingerprint"), F.col("__least.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-             components: Callable[[DataFrame, str, str], DataFrame] = _with_components) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: that of the smallest id.
 
-    components: what is near, by default fingerprints within three bits.
     Of several rows with this id the one with the smallest hash of its text stays; of rows that
     are equal in both, one. Null ids come last. The texts are only shuffled if the list of what
     goes is not counted to be short.
     """
-    placed = written(components(docs, text, doc_id))
+    placed = written(_with_components(docs, text, doc_id))
     stays = F.col("doc_id").eqNullSafe(F.col("__least.doc_id")) \
         & F.col("__hash").eqNullSafe(F.col("__least.__hash"))
     names = [F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variegate.llm.common import checked_broadcast, lean_batches, without, written
+from variegate.llm.common import checked_broadcast, lean_batches, tidy, without, written
 
 LENGTH = 400
 GRAM = 16
@@ -463,24 +463,24 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("k1", "k2", "text")
-    counts = texts.mapInArrow(_anchor_counts, "name long, n long").groupBy("name") \
+    counts = texts.mapInArrow(tidy(_anchor_counts), "name long, n long").groupBy("name") \
         .agg(F.sum("n").alias("n"))
     repeated = written(counts.where(F.col("n") > 1))
     sent = context.broadcast(repeated_filter(repeated, repeated.count()))
     hot = written(repeated.where(F.col("n") > LARGE).select("name", "n"))
     stretches = texts.mapInArrow(
-        _stretches(sent), "name long, k1 long, k2 long, lead long, first long, bytes binary")
+        tidy(_stretches(sent)), "name long, k1 long, k2 long, lead long, first long, bytes binary")
     # every stretch once, with the number of places where its anchor is hot
     known = written(stretches.join(checked_broadcast(hot), "name", "left"))
     few = known.where(F.col("n").isNull()).drop("n").repartition("name") \
         .sortWithinPartitions("name", "k1", "k2", "first") \
-        .mapInArrow(lambda rows: _packed_ranges(_sorted_repeats(rows), buckets), RANGES)
-    many = known.where(F.col("n").isNotNull()).mapInArrow(_string_hashes, PACKED) \
+        .mapInArrow(tidy(lambda rows: _packed_ranges(_sorted_repeats(rows), buckets)), RANGES)
+    many = known.where(F.col("n").isNotNull()).mapInArrow(tidy(_string_hashes), PACKED) \
         .repartition("name", "part").sortWithinPartitions("name", "part") \
-        .mapInArrow(lambda rows: _packed_ranges(_hashed_repeats(rows), buckets), RANGES)
+        .mapInArrow(tidy(lambda rows: _packed_ranges(_hashed_repeats(rows), buckets)), RANGES)
     span = "array<struct<first: bigint, last: bigint>>"
     return few.unionByName(many).repartition(buckets, "bucket") \
-        .mapInArrow(_merged_ranges, f"k1 long, k2 long, ranges {span}")
+        .mapInArrow(tidy(_merged_ranges), f"k1 long, k2 long, ranges {span}")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -494,22 +494,23 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     are, repeats too; columns named like the added ones are replaced.
     """
     lean_batches(docs.sparkSession)
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "k1", "k2")
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed")
     keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
     keys = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
                        F.col(text).alias("text"))
     ranges = repeated_strings(keys).withColumnRenamed("ranges", "__ranges")
     copied = keys.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").count() \
         .where(F.col("count") > 1).select("k1", "k2", F.lit(True).alias("__copied"))
-    facts = written(ranges.join(copied, ["k1", "k2"], "full"))
-    joined = keyed.join(facts, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")),
-                        "left").drop("k1", "k2", "__k1", "__k2")
+    facts = written(ranges.join(copied, ["k1", "k2"], "full")
+                    .withColumnsRenamed({"k1": "__f1", "k2": "__f2"}))
+    joined = keyed.join(facts, (F.col("__k1") == F.col("__f1")) & (F.col("__k2") == F.col("__f2")),
+                        "left").drop("__f1", "__f2", "__k1", "__k2")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([
         *docs.schema.fields, T.StructField("kept", T.BinaryType()),
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("removed", T.ArrayType(span))])
-    return joined.mapInArrow(_cutter(text), schema)
+    return joined.mapInArrow(tidy(_cutter(text)), schema)
 
 
 def readable(kept: Column) -> Column:
