@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variegate.llm import decontamination, language, lattice, near_copies, pieces, simhash, suffixes
+from variegate.llm import decontamination, language, pieces, simhash, suffixes
 from variegate.llm.common import apart, table
 from variegate.llm.queries import VOCABULARY
+from variegate.llm.vocabulary import read_vocabulary
 from variegate.session import ensure_checkpoint_dir
 
 LEAST_CHANCE = 0.5  # of the language found; every clear text is far above
@@ -20,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model is learned from the documents' own languages. Null and empty texts have no letter.
     """
-    model = language.fit(docs, lattice.read_vocabulary(VOCABULARY))
+    model = language.fit(docs, read_vocabulary(VOCABULARY))
     rows, named = apart(docs, "text")
     clear = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_CHANCE)
     return language.predict(rows, model).where(clear).select(*named)
@@ -29,11 +30,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest id.
 
-    Near are texts whose sets of five words in a row have a Jaccard similarity of 0.8, counted
-    exactly; three bits of op2's fingerprints would leave some of them.
+    Near are texts whose fingerprints of three words in a row differ in at most three bits, directly
+    or by way of others.
     """
     rows, named = apart(docs, "doc_id", "text")
-    return simhash.keep_one(rows, components=near_copies.with_components).select(*named)
+    return simhash.keep_one(rows).select(*named)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The last says whether the ids decode to the text.
     """
-    vocabulary = lattice.read_vocabulary(VOCABULARY)
+    vocabulary = read_vocabulary(VOCABULARY)
     docs, named = apart(docs, "text")
     rows = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
     return rows.select(*named, "piece_ids",
