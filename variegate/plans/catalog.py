@@ -14,6 +14,7 @@ from variegate.operators import (diversity, embed, ledger, replies, scoring, sen
                                  tasks)
 from variegate.functions.byte_pairs import read_ranks
 from variegate.operators.compression_distance import compression_distance
+from variegate.operators.score_table import register_score_table
 from variegate.operators.self_bleu import self_bleu
 from variegate.operators.token_counts import answer_length_tokens as mean_tokens, token_totals
 from variegate.plans import corpus, reports
@@ -403,6 +404,15 @@ def hashed_embedding_size(spark: SparkSession, folder: str) -> DataFrame:
                           long("n_features", total))
 
 
+def scores_in_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """Self-BLEU of each document's lines by the table function, in a statement."""
+    register_score_table(spark)
+    answers = corpus.document_answers(table(spark, folder, "documents"))
+    found = spark.sql("SELECT * FROM score(TABLE({answers}) PARTITION BY (lang, doc_id), 'self_bleu', 2)",
+                      answers=answers)
+    return found.select(*DOCUMENT_KEYS, "method", long("arg_n"), six("score"))
+
+
 def diversity_documents(spark: SparkSession, folder: str) -> DataFrame:
     answers = corpus.document_answers(table(spark, folder, "documents"))
     present = answers.where(F.col("answer").isNotNull())
@@ -506,7 +516,7 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     ledger_first_entries, ledger_latest_entries, completed_batches, answer_counts,
     answer_length, answer_length_words, answer_length_tokens, token_counts_documents,
     abbreviation_statistics, sentence_starters, sentence_counts, self_bleu_conversations, self_bleu_documents,
-    self_bleu_words, compression_distance_documents, hashed_embedding_size,
+    self_bleu_words, scores_in_sql, compression_distance_documents, hashed_embedding_size,
     diversity_documents, context_diversity, context_diversity_summary,
     context_diversity_counts, mean_ci_documents, spearman_by_language, partial_spearman_total,
     correlation_report, assembled_scores, score_summary, score_rating_report)}

@@ -562,6 +562,9 @@ SELECT query_idx, round(avg(score), 6) AS score FROM answer_scores GROUP BY quer
 SELECT lang, doc_id, round(avg(score), 6) AS score FROM answer_scores GROUP BY lang, doc_id""",
     "self_bleu_words": self_bleu(DOCUMENT_WORDS, "lang, doc_id", 2) + """
 SELECT lang, doc_id, 'self_bleu' AS method, 2::BIGINT AS arg_n, round(avg(score), 6) AS score
+FROM answer_scores GROUP BY lang, doc_id""",
+    "scores_in_sql": self_bleu(DOCUMENT_TOKENS, "lang, doc_id", 2) + """
+SELECT lang, doc_id, 'self_bleu' AS method, 2::BIGINT AS arg_n, round(avg(score), 6) AS score
 FROM answer_scores GROUP BY lang, doc_id""",
     "hashed_embedding_size": f"""WITH {ANSWERS}
 SELECT doc_id, answer_idx::BIGINT AS answer_idx, 256::BIGINT AS dimensions,
