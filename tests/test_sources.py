@@ -161,3 +161,30 @@ def test_ledger(spark, tmp_path):
     rows = readers.read_ledger(spark, path).orderBy("seq").collect()
     assert [(r["seq"], r["batch_id"], r["status"]) for r in rows] == [
         (0, "b0", None), (1, "b1", "completed")]
+
+
+def test_many_writers_of_the_ledger(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "ledger")
+    with ThreadPoolExecutor(8) as pool:
+        done = [pool.submit(writers.append_ledger, spark, path, f"b{i}", f"f{i}", "x.jsonl", None)
+                for i in range(8)]
+        [d.result() for d in done]
+    rows = readers.read_ledger(spark, path).collect()
+    assert sorted(r["seq"] for r in rows) == list(range(8))
+    assert {r["batch_id"] for r in rows} == {f"b{i}" for i in range(8)}
+    # a batch that is entered again, after a failure, keeps its place and its first entry
+    first = {r["batch_id"]: r["seq"] for r in rows}
+    writers.append_ledger(spark, path, "b3", "other", "y.jsonl", "completed")
+    again = {r["batch_id"]: (r["seq"], r["input_file_id"]) for r in readers.read_ledger(spark, path).collect()}
+    assert again == {b: (n, f"f{b[1:]}") for b, n in first.items()}
+
+
+def test_entries_of_the_older_form(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.createDataFrame([(1, "b", None, "x", None), (0, "c", None, "x", "completed")], schemas.LEDGER) \
+        .write.parquet(path)
+    writers.append_ledger(spark, path, "a", "f", "x")
+    assert [(r["seq"], r["batch_id"]) for r in readers.read_ledger(spark, path).orderBy("seq").collect()] == [
+        (0, "c"), (1, "b"), (2, "a")]

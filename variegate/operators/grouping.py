@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from variegate.session import cut_lineage
+
 # A side is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -77,6 +79,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
     return left.join(renamed, condition, how).drop(*[f"__{key}" for key in keys])
 
 
+def with_places(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``__place``, from 0, in the order of the columns, which must tell its rows apart.
+
+    Rows are sorted over all tasks and numbered in each; the counts of the tasks before, one for
+    each, say where its numbers begin.
+    """
+    rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)) \
+        .withColumn("__id", F.monotonically_increasing_id())
+    part, counts = F.shiftright("__id", 33), {}
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        counts[r["part"]] = r["count"]
+    starts, total = [], 0
+    for p, n in counts.items():
+        starts.append((p, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    inside = F.col("__id").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(before), part == F.col("__part")) \
+        .withColumn("__place", F.col("__start") + inside).drop("__id", "__part", "__start")
+
+
 def scores_of(queries: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, score`` for every group listed in ``queries``; 0 for those without a row."""
     found = scores.withColumn("__found", F.lit(True))

@@ -10,6 +10,7 @@ from variegate.functions.prompts import (chat_messages, contextualized, custom_i
                                          embedding_request, judge_question, rating_request,
                                          split_answer_id, split_query_id)
 from variegate.functions.words import Tokenizer, token_count, word_tokens
+from variegate.operators.grouping import null_safe_join
 from variegate.sources.schemas import QUERY_KEYS
 
 # Positions of a query that one task numbers.
@@ -156,15 +157,30 @@ def nest(df: DataFrame, value: str, order: str = "answer_idx",
     if slice_size is None:
         part, rows = [], df
     else:
-        place = F.count(order).over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
-                                    .rowsBetween(Window.unboundedPreceding, 0))
         part = ["part"]
-        rows = df.withColumn("part", F.greatest(F.floor((place - 1) / slice_size), F.lit(0))
-                             .cast("int"))
+        rows = _numbered(df, order, keys).withColumn(
+            "part", F.floor(F.coalesce("__place", F.lit(0)) / slice_size).cast("int"))
     return rows.groupBy(*keys, *part).agg(pairs.alias("pairs")) \
         .select(*keys, *part, F.transform("pairs", lambda pair: pair[value]).alias("items"))
 
 
+def _numbered(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """``__place``, from 0, of each row among those of its group; null where the order is.
+
+    Rows are numbered within blocks of positions, and from the counts of the blocks before.
+    """
+    block = F.floor(F.col(order) / BLOCK).alias("__block")
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.where(F.col(order).isNotNull()).groupBy(*keys, block) \
+        .agg(F.count(F.lit(1)).alias("__n")) \
+        .select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(order)
+    ranked = df.withColumn("__block", block).withColumn("__rank", F.row_number().over(inside) - 1)
+    return null_safe_join(ranked, starts, [*keys, "__block"], "left") \
+        .withColumn("__place", F.when(F.col(order).isNotNull(), F.col("__before") + F.col("__rank"))) \
+        .drop("__block", "__rank", "__before")
+
+
 def pending_answers(answers: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Answers that have no vector yet."""
     done = embeddings.where(F.col("embedding").isNotNull())

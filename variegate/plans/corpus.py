@@ -61,10 +61,15 @@ def vector_answers(embeddings: DataFrame) -> DataFrame:
                              F.col("vec_id").cast("int").alias("answer_idx"), "embedding")
 
 
+def _hundred(conv_id: str) -> Column:
+    """Documents of bounded size, more of them for more conversations."""
+    return F.floor(F.col(conv_id) / 100).cast("long").alias("number")
+
+
 def task_document(conversations: DataFrame) -> DataFrame:
-    """Conversations as one task set in JSON for each of ten numbers, as task files hold it."""
+    """Conversations as one task set in JSON for each hundred of their ids, as task files hold it."""
     asked = conversation_tasks(conversations)
-    queries = asked.groupBy((F.col("query_idx") % 10).alias("number")).agg(
+    queries = asked.groupBy(_hundred("query_idx")).agg(
         F.sort_array(F.collect_list(F.struct("query_idx", "query"))).alias("queries"))
     task = F.struct(F.concat(F.lit("chat "), F.col("number").cast("string")).alias("task_name"),
                     F.lit("Chat").alias("task_name_original"), F.lit("Reply: ").alias("task_prompt"),
@@ -73,11 +78,11 @@ def task_document(conversations: DataFrame) -> DataFrame:
 
 
 def answer_document(conversations: DataFrame) -> DataFrame:
-    """Assistant turns as nested answers in JSON for each of ten numbers, as answer files hold them."""
+    """Assistant turns as nested answers in JSON for each hundred of ids, as answer files hold them."""
     said = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
     answers = conversations.groupBy("conv_id").agg(
         F.transform(F.sort_array(F.collect_list(said)), lambda t: t["text"]).alias("answers"))
-    queries = answers.groupBy((F.col("conv_id") % 10).alias("number")).agg(
+    queries = answers.groupBy(_hundred("conv_id")).agg(
         F.sort_array(F.collect_list(F.struct("conv_id", "answers"))).alias("queries"))
     nested = F.array(F.transform("queries", lambda q: q["answers"]))
     return queries.select("number", F.to_json(nested).alias("value"))

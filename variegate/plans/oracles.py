@@ -492,14 +492,14 @@ UNION ALL
 SELECT query_idx, part, CASE WHEN part = 1 THEN '' ELSE ' ' END || part || '. ' || answer
 FROM placed""",
     "flattened_tasks": f"""WITH {TASKS}
-SELECT 0::BIGINT AS task_idx, 'chat ' || query_idx % 10 AS task_name,
+SELECT 0::BIGINT AS task_idx, 'chat ' || query_idx // 100 AS task_name,
        'Chat' AS task_name_original, 'Reply: ' AS task_prompt,
-       row_number() OVER (PARTITION BY query_idx % 10 ORDER BY query_idx) - 1 AS query_idx, query
+       row_number() OVER (PARTITION BY query_idx // 100 ORDER BY query_idx) - 1 AS query_idx, query
 FROM tasks""",
     "flattened_answers": """
 WITH numbers AS (
-  SELECT conv_id, conv_id % 10 AS number,
-         row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) - 1 AS query_idx
+  SELECT conv_id, conv_id // 100 AS number,
+         row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id) - 1 AS query_idx
   FROM (SELECT DISTINCT conv_id FROM conversations)),
 said AS (
   SELECT conv_id, text AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variegate.functions.ratings import rating_columns, rating_text
+from variegate.operators.grouping import with_places
 from variegate.sources import schemas
 from variegate.sources.arrays import parsed, read_items
 
@@ -122,13 +123,23 @@ def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_ledger(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """The batch ledger; a missing one is empty unless ``strict``."""
+    """The batch ledger; a missing one is empty unless ``strict``.
+
+    ``seq`` counts the entries from 0 in the order of their times; of equal times the batch's id
+    decides. Of a batch that was entered more than once the first entry counts.
+    """
     try:
-        return spark.read.schema(schemas.LEDGER).parquet(path)
+        entries = spark.read.schema(schemas.LEDGER_ENTRY).option("recursiveFileLookup", "true").parquet(path)
     except AnalysisException as error:
         if strict or "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schemas.LEDGER)
+    time = F.struct(F.coalesce("written_ns", F.lit(0)).alias("at"), "seq")  # older entries have no time
+    first = entries.groupBy("batch_id").agg(
+        F.min_by(F.struct("input_file_id", "input_file_name", "status"), time).alias("entry"),
+        F.min(time).alias("time")).select("batch_id", "entry.*", "time")
+    return with_places(first, ["time", "batch_id"]).select(
+        F.col("__place").alias("seq"), *[c for c in schemas.LEDGER.names if c != "seq"])
 
 
 def _is_parquet(path: str) -> bool:

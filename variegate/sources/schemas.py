@@ -42,4 +42,5 @@ RATING_RESPONSE = _struct(
 RATINGS = _struct(custom_id=TEXT, fluency=DOUBLE, flexibility=DOUBLE, originality=DOUBLE,
                   elaboration=DOUBLE, overall=DOUBLE)
 LEDGER = _struct(seq=LONG, batch_id=TEXT, input_file_id=TEXT, input_file_name=TEXT, status=TEXT)
+LEDGER_ENTRY = T.StructType([*LEDGER.fields, T.StructField("written_ns", LONG)])
 SCORES = _struct(task_idx=INT, query_idx=INT, method=TEXT, arg_n=INT, score=DOUBLE)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variegate.functions.prompts import request_line
 from variegate.sources import schemas
 from variegate.sources.arrays import write_nested
-from variegate.sources.readers import read_ledger
 
 
 def write_answers(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -62,14 +64,14 @@ def write_requests(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 def append_ledger(spark: SparkSession, path: str, batch_id: str, input_file_id: str,
                   input_file_name: str, status: str | None = None) -> None:
-    """Add one entry behind the last one."""
-    last = read_ledger(spark, path).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
-    entry = last.select(
-        (F.col("last") + 1).alias("seq"),
-        *[F.lit(value).cast("string").alias(name) for name, value in (
-            ("batch_id", batch_id), ("input_file_id", input_file_id),
-            ("input_file_name", input_file_name), ("status", status))])
-    entry.write.mode("append").parquet(path)
+    """Add one entry. Any number of writers may do so at once, and again after a failure.
+
+    Each writes a table of its own under ``path``, which nothing changes later. The reader puts
+    entries in the order of their times and ids, and takes the first of a batch.
+    """
+    entry = spark.createDataFrame([(None, batch_id, input_file_id, input_file_name, status, time.time_ns())],
+                                  schemas.LEDGER_ENTRY)
+    entry.coalesce(1).write.parquet(f"{path}/entry-{uuid.uuid4()}")
 
 
 def _write_parquet(df: DataFrame, path: str, mode: str) -> None:
