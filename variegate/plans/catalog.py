@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from variegate.functions import lists, words
 from variegate.functions.prompts import split_answer_id, split_query_id
 from variegate.functions.ratings import rating_columns
-from variegate.operators import (diversity, embed, ledger, replies, scoring, sentences, statistics,
+from variegate.operators import (dense_embed, diversity, embed, ledger, replies, scoring, sentences, statistics,
                                  tasks)
 from variegate.functions.byte_pairs import read_ranks
 from variegate.operators.compression_distance import compression_distance
@@ -422,6 +422,17 @@ def diversity_documents(spark: SparkSession, folder: str) -> DataFrame:
         .select(*DOCUMENT_KEYS, six("score"))
 
 
+def diversity_dense_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Diversity of each document's lines by vectors learned from all lines, negative cosines and all."""
+    answers = corpus.document_answers(table(spark, folder, "documents"))
+    present = answers.where(F.col("answer").isNotNull())
+    model = dense_embed.fit_dense(present, "answer", dimensions=16, features=4096, rounds=4)
+    scores = diversity.diversity_score(
+        present, DOCUMENT_KEYS, queries=answers, text="answer",
+        embed=lambda rows: dense_embed.dense_embedding(rows, model, "answer"))
+    return scores.select(*DOCUMENT_KEYS, six("score"))
+
+
 def context_diversity(spark: SparkSession, folder: str) -> DataFrame:
     """Diversity of each conversation's replies, each read with the turn that asked for them."""
     conversations = table(spark, folder, "conversations")
@@ -517,6 +528,6 @@ QUERIES: dict[str, Query] = {query.__name__: query for query in (
     answer_length, answer_length_words, answer_length_tokens, token_counts_documents,
     abbreviation_statistics, sentence_starters, sentence_counts, self_bleu_conversations, self_bleu_documents,
     self_bleu_words, scores_in_sql, compression_distance_documents, hashed_embedding_size,
-    diversity_documents, context_diversity, context_diversity_summary,
+    diversity_documents, diversity_dense_documents, context_diversity, context_diversity_summary,
     context_diversity_counts, mean_ci_documents, spearman_by_language, partial_spearman_total,
     correlation_report, assembled_scores, score_summary, score_rating_report)}
