@@ -51,7 +51,12 @@ MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "adsense", "sponsor"
          "related", "recommended", "recommendations", "pagination", "pager", "toc", "copyright",
          "legal", "disclaimer", "skip", "search", "form", "rail", "toolbar"}
 MAIN = {"article", "main"}
-# The marks that count for an article too: one of them may be a comment or a teaser.
+# Words that say nothing beside a mark: "site-footer" is marked, "article-header" is not.
+NEUTRAL = {"site", "main", "page", "top", "bottom", "left", "right", "primary", "secondary", "global",
+           "box", "bar", "block", "area", "container", "wrapper", "wrap", "inner", "outer", "slot", "unit",
+           "list", "item", "items", "link", "links", "button", "buttons", "section", "panel", "group",
+           "posts", "bottom", "sticky", "fixed", "mobile", "desktop", "the", "my"}
+# The marks that count for an article, and for what holds one: it may be a comment or a teaser.
 ARTICLE_MARKS = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments",
                  "replies", "related", "recommended"}
 
@@ -61,9 +66,9 @@ ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 SPACE = re.compile(r"\s+")
 
-# A subtree is a template's if it is on at least so many pages, and this part of the host's pages.
+# A subtree is a template's if it is on at least so many different pages of a host, and on as many as
+# the root of their number.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.1
 
 
 class Node:
@@ -145,10 +150,20 @@ def attributes(given: str) -> dict[str, str]:
     return found
 
 
-def is_marked(node: Node, in_article: bool = False) -> bool:
+def names_mark(names: str, marks: set[str]) -> bool:
+    """Whether one of the names is a mark: all of its words are marks or neutral, and not all neutral."""
+    for name in names.split():
+        words = [w.lower() for w in NAME_WORD.findall(name)]
+        if any(w in marks for w in words) and all(w in marks or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
+def is_marked(node: Node, in_article: bool = False, holds: bool = False) -> bool:
     """Whether tag, role or names say that the element is not main text.
 
-    The header of an article holds its title, so there the tag alone does not count.
+    The header of an article holds its title, so there the tag alone does not count. An element that
+    holds an article or main element goes by few names only.
     """
     if node.tag in DROPPED and not (in_article and node.tag == "header"):
         return True
@@ -161,30 +176,43 @@ def is_marked(node: Node, in_article: bool = False) -> bool:
     if given.get("role", "").lower() in DROPPED_ROLES:
         return True
     names = f"{given.get('class', '')} {given.get('id', '')}"
-    marks = ARTICLE_MARKS if node.tag in MAIN else MARKS
-    return any(w.lower() in marks for w in NAME_WORD.findall(names))
+    return names_mark(names, ARTICLE_MARKS if holds or node.tag in MAIN else MARKS)
+
+
+def holders(root: Node, tags: set[str]) -> set[int]:
+    """Ids of the elements that hold one of ``tags``."""
+    order, stack = [], [root]
+    while stack:
+        own = stack.pop()
+        order.append(own)
+        stack += [c for c in own.children if isinstance(c, Node)]
+    found: set[int] = set()
+    for own in reversed(order):
+        if any(isinstance(c, Node) and (c.tag in tags or id(c) in found) for c in own.children):
+            found.add(id(own))
+    return found
 
 
 def hash_subtrees(node: Node) -> list[int]:
     """Sets the hash of each element and returns those that may be a template's.
 
-    Without a loop over one's own calls, so depth is no limit. Elements in the article, ones that
-    hold it, and ones that go anyway are not returned.
+    Without a loop over one's own calls, so depth is no limit. What is in an article, or in a main
+    element that holds none, is not returned, as a paragraph that recurs there is text; nor is what
+    holds one of them.
     """
+    with_article = holders(node, {"article"})
     order, stack = [], [(node, False)]
     while stack:
         own, inside = stack.pop()
         order.append((own, inside))
-        inside = inside or own.tag in MAIN
+        inside = inside or own.tag == "article" or own.tag == "main" and id(own) not in with_article
         stack += [(c, inside) for c in own.children if isinstance(c, Node)]
-    holds, found = set(), set()
+    holds, found = holders(node, MAIN), set()
     for own, inside in reversed(order):
         digest = xxhash.xxh64(f"<{own.tag} {own.given.strip()}>")
         for child in own.children:
             if isinstance(child, Node):
                 digest.update(child.hash.to_bytes(8, "big"))
-                if child.tag in MAIN or id(child) in holds:
-                    holds.add(id(own))
             else:
                 digest.update(SPACE.sub(" ", child))
         own.hash = digest.intdigest()
@@ -196,7 +224,8 @@ def hash_subtrees(node: Node) -> list[int]:
 
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the main text joined by two line feeds; ``template``: hashes that go."""
-    within = _main_parts(root)
+    holds = holders(root, MAIN)
+    within = _main_parts(root, holds)
     in_article = within[0] is not root
     blocks, current = [], []
 
@@ -215,7 +244,7 @@ def main_text(root: Node, template: set[int]) -> str:
         if not opening:
             flush()
             continue
-        if item.tag != "#root" and (is_marked(item, in_article)
+        if item.tag != "#root" and (is_marked(item, in_article, id(item) in holds)
                                     or template and item.hash - (1 << 63) in template):
             continue
         if item.tag in ("br", "wbr"):
@@ -229,41 +258,45 @@ def main_text(root: Node, template: set[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def _main_parts(root: Node) -> list[Node]:
-    """The outermost articles, else the main element, else the whole page."""
-    articles, mains, stack = [], [], [(root, False)]
+def _main_parts(root: Node, holds: set[int]) -> list[Node]:
+    """The outermost articles and main elements in page order, else the whole page."""
+    parts, stack = [], [root]
     while stack:
-        node, in_article = stack.pop()
-        if node.tag != "#root" and is_marked(node):
+        node = stack.pop()
+        if node.tag != "#root" and is_marked(node, holds=id(node) in holds):
             continue
-        if node.tag == "main":
-            mains.append(node)
-        if node.tag == "article" and not in_article:
-            articles.append(node)
-            in_article = True
-        stack += [(c, in_article) for c in reversed(node.children) if isinstance(c, Node)]
-    return articles or mains[:1] or [root]
+        if node.tag in MAIN:
+            parts.append(node)
+            continue
+        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return parts or [root]
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), page: str = "html",
-            url: str = "url", least_pages: int = LEAST_PAGES,
-            least_share: float = LEAST_SHARE) -> DataFrame:
+            url: str = "url", least_pages: int = LEAST_PAGES) -> DataFrame:
     """``keep`` and ``text``, the main text of every row; null and empty pages have empty text.
 
     Pages of a host (null and hostless urls are one host without a template) are counted by
-    their subtrees; a subtree counts once for a page. Counts are combined before the shuffle, so a
-    hot host is no hot task. What recurs comes back as one list for each host, at most
-    ``1 / least_share`` times a page's subtrees long, and is broadcast if it is counted to be
-    small. Rows are kept as they are, repeats too.
+    their subtrees. A subtree counts once for a page, and copies of a page count as one. It is a
+    template's from ``least_pages`` pages on, and from the root of the number of the host's pages.
+    Counts are combined before the shuffle, so a hot host is no hot task. What recurs comes back as one
+    list for each host, at most a page's subtrees times that root long, and is broadcast if it is
+    counted to be small. Rows are kept as they are, repeats too.
     """
     rows = pages.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)],
                         host_of(F.col(url)).alias("__host"), F.col(page).alias("__page"))
-    found = rows.select("__host", "__page").where(F.col("__host") != "") \
-        .mapInArrow(_count_subtrees, "host string, hash long, n long")
-    counts = written(found.groupBy("host", "hash").agg(F.sum("n").alias("n")))
+    hosted = rows.select("__host", "__page", F.xxhash64("__page").alias("__hash")).where(F.col("__host") != "")
+    copied = written(hosted.groupBy(F.col("__host").alias("__of"), F.col("__hash").alias("__as"))
+                     .agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") > 1))
+    weighed = hosted.join(checked_broadcast(copied), (F.col("__host") == F.col("__of"))
+                          & (F.col("__hash") == F.col("__as")), "left") \
+        .select("__host", "__page", (F.lit(1.0) / F.coalesce("__copies", F.lit(1))).alias("__share"))
+    found = weighed.mapInArrow(_count_subtrees, "host string, hash long, n double")
+    # shares of copies add up to one page, but for rounding
+    counts = written(found.groupBy("host", "hash").agg(F.round(F.sum("n"), 3).alias("n")))
     sizes = counts.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages))
-    often = often.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages"))
+    often = often.join(sizes, "host").where(F.col("n") >= F.sqrt("pages"))
     templates = written(often.groupBy("host").agg(F.collect_list("hash").alias("__template")))
     joined = rows.join(checked_broadcast(templates, 20_000),
                        F.col("__host") == F.col("host"), "left")
@@ -295,11 +328,11 @@ def _count_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Rows of host, subtree and pages; a null subtree counts the host's pages."""
     for batch in batches:
         counts: dict = {}
-        for host, page in zip(batch["__host"].to_pylist(), batch["__page"]):
+        for host, page, share in zip(batch["__host"].to_pylist(), batch["__page"],
+                                     batch["__share"].to_pylist()):
             for own in [None, *hash_subtrees(parse(page.as_py()))]:
-                counts[host, own] = counts.get((host, own), 0) + 1
+                counts[host, own] = counts.get((host, own), 0.0) + share
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in counts], pa.string()),
              pa.array([k[1] for k in counts], pa.int64()),
-             pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "n"])
-
+             pa.array(list(counts.values()), pa.float64())], names=["host", "hash", "n"])
