@@ -63,7 +63,9 @@ def test_bradley_terry_orders_preferences():
     rng = np.random.default_rng(0)
     values = rng.normal(size=(400, len(quality.FEATURES)))
     good = values[:, 3] + 0.3 * rng.normal(size=400) > -0.8
-    model = quality.bradley_terry(values, good, float((~good).mean()))
+    model = quality.bradley_terry(values, good)
+    raw = quality.expanded((values - model.mean) / model.scale) @ model.weights
+    model.cut = float(np.quantile(raw, (~good).mean()))
     scores = quality.score(model, values)
     assert (scores[good][:, None] > scores[~good][None, :]).mean() > 0.95
     assert ((scores >= quality.CUT) == good).mean() > 0.9
@@ -92,3 +94,29 @@ def test_features_are_finite():
     for text in [None, "", " ", "\x00", "a", "é" * 10, "A\n\nA\n"]:
         assert np.isfinite(quality.features(text)).all() \
             and len(quality.features(text)) == len(quality.FEATURES)
+
+
+def test_cut_is_a_quantile_of_all_labelled_documents(spark, monkeypatch):
+    """However small the sample is; copies count in the quantile, and once in the sample."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        words = ["word"] * int(rng.integers(5, 40)) if i % 3 else ["!!!", "@#$"] * int(rng.integers(5, 40))
+        rows.append((i, " ".join(words) + "."))
+    rows += [rows[0]] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.bradley_terry
+    monkeypatch.setattr(quality, "bradley_terry", lambda v, g: (sizes.append(len(v)), fit(v, g))[1])
+    model = quality.fit(docs, labels, F.lit(True), limit=40)
+    assert 40 <= sizes[0] <= 120
+    raw = sorted(quality.expanded((np.array([quality.features(t) for _, t in rows]) - model.mean) / model.scale)
+                 @ model.weights)
+    bad = sum(i % 3 == 0 for i, _ in rows)
+    above = next(x for x in raw if x > raw[bad - 1])
+    assert np.isclose(model.cut, (raw[bad - 1] + above) / 2)
+    scores = {r.doc_id: r.quality_score for r in quality.score_quality(docs, model).collect()}
+    assert all((s >= quality.CUT) == (i % 3 != 0) for i, s in scores.items())
+    again = quality.fit(docs.orderBy("doc_id").repartition(2), labels, F.lit(True), limit=40)
+    assert np.allclose(again.weights, model.weights) and again.cut == model.cut

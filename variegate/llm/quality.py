@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variegate.llm.common import without, written
+from variegate.llm.common import checked_broadcast, without, written
 
 SAMPLE = 6000  # labelled documents of each class that a model is fitted on
 PAIRS = 8  # partners of each document
 RIDGE = 1e-3
+CUT_ACCURACY = 1_000_000  # of the quantile: an error of so small a part of the documents
 CUT = 0.3  # the score at which a document counts as good
 SHARE_PARTS = 1 << 30
 
@@ -89,30 +90,58 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, limit: int = SAMPLE)
     """Learn from labelled documents where ``usable``, at most about ``limit`` of each class.
 
     docs: doc_id, text. labels: doc_id, quality; a document with several labels takes the larger
-    part of them, null ones do not count. Repeated documents count as often as they are there.
-    Of a class with more documents those with the smallest hashes of their ids are taken, so the
-    sample is the same in every run. Without documents of both classes all scores are equal.
+    part of them, null ones do not count. Of a class with more documents those with the smallest
+    hashes of id and text are taken, so the sample is the same in every run; copies of a row are in
+    it once. The weights are fitted on the sample, the cut on all usable labelled documents, each as
+    often as it is there. Without documents of both classes all scores are equal.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("__good"))
     known = written(known.where(usable))
-    counts = {r[0]: r[1] for r in known.groupBy("__good").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SHARE_PARTS))
-    share = {c: int(SHARE_PARTS * min(1.0, limit / n)) for c, n in counts.items()}
-    chosen = known.where(place < F.when(F.col("__good"), share.get(True, 0))
-                         .otherwise(share.get(False, 0)))
-    # The sample's size is set by `limit`, whatever the tables hold.
-    rows = with_features(docs.join(F.broadcast(chosen), "doc_id"), ["doc_id", "__good"]) \
-        .select("doc_id", "__good", "features").limit(8 * limit).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["features"]))
-    values = np.array([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
-    good = np.array([r["__good"] for r in rows], bool)
-    bad_share = counts.get(False, 0) / max(sum(counts.values()), 1)
-    return bradley_terry(values, good, bad_share)
-
-
-def bradley_terry(values: np.ndarray, good: np.ndarray, bad_share: float) -> QualityModel:
-    """Weights that make preferred documents score higher, and the cut at the share of bad ones."""
+    rows = docs.select("doc_id", "text").join(checked_broadcast(known), "doc_id") \
+        .select("doc_id", "text", "__good", F.xxhash64("doc_id", "text").alias("__hash"))
+    copies = written(rows.groupBy("doc_id", "__hash").agg(
+        F.first("__good").alias("__good"), F.count(F.lit(1)).alias("__n")))
+    counts = {r[0]: (r[1], r[2]) for r in copies.groupBy("__good").agg(
+        F.count(F.lit(1)), F.sum("__n")).collect()}
+    place = F.pmod(F.xxhash64("__hash", F.lit(11)), F.lit(SHARE_PARTS))
+    share = {c: int(SHARE_PARTS * min(1.0, limit / n)) for c, (n, _) in counts.items()}
+    chosen = copies.where(place < F.when(F.col("__good"), share.get(True, 0))
+                          .otherwise(share.get(False, 0))).select("doc_id", "__hash")
+    # the sample's size is set by `limit`, whatever the tables hold
+    sample = with_features(rows.join(F.broadcast(chosen), ["doc_id", "__hash"])
+                           .dropDuplicates(["doc_id", "__hash"]), ["doc_id", "__hash", "__good"]) \
+        .select("doc_id", "__hash", "__good", "features").collect()
+    sample = sorted(sample, key=lambda r: (r["doc_id"], r["__hash"]))
+    values = np.array([r["features"] for r in sample]).reshape(len(sample), len(FEATURES))
+    good = np.array([r["__good"] for r in sample], bool)
+    model = bradley_terry(values, good)
+    if not model.weights.any():
+        return model
+    raw = written(raw_scores(rows.select("text"), model))
+    bad_share = counts[False][1] / (counts[False][1] + counts[True][1])
+    below = raw.agg(F.percentile_approx("raw", bad_share, CUT_ACCURACY)).first()[0]
+    above = raw.agg(F.min(F.when(F.col("raw") > below, F.col("raw")))).first()[0]
+    model.cut = (below + (below if above is None else above)) / 2
+    return model
+
+
+def raw_scores(rows: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """``raw``: scores of the texts before they are moved to the cut."""
+    sent = rows.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, scale, weights = sent.value
+        for batch in batches:
+            found = np.array([features(t.as_py()) for t in batch[text]], float)
+            raw = expanded((found.reshape(len(batch), len(FEATURES)) - mean) / scale) @ weights
+            yield pa.RecordBatch.from_arrays([pa.array(raw)], names=["raw"])
+
+    return rows.select(text).mapInArrow(run, "raw double")
+
+
+def bradley_terry(values: np.ndarray, good: np.ndarray) -> QualityModel:
+    """Weights that make preferred documents score higher; the cut is not yet known."""
     size = values.shape[1]
     if not good.any() or good.all():
         return QualityModel(np.zeros(size), np.ones(size), np.zeros(size), 0.0)
@@ -131,13 +160,7 @@ def bradley_terry(values: np.ndarray, good: np.ndarray, bad_share: float) -> Qua
         weights = weights - step
         if np.abs(step).max() < 1e-8:
             break
-    raw = scaled @ weights
-    # the sample may hold the classes in other shares than the labels do
-    weight = np.where(good, (1 - bad_share) / good.sum(), bad_share / (~good).sum())
-    order = np.argsort(raw, kind="stable")
-    at = int(np.searchsorted(np.cumsum(weight[order]), bad_share))
-    at = min(at, len(raw) - 1)
-    return QualityModel(mean, scale, weights, float((raw[order[at]] + raw[order[max(at - 1, 0)]]) / 2))
+    return QualityModel(mean, scale, weights, 0.0)
 
 
 def expanded(scaled: np.ndarray) -> np.ndarray:
