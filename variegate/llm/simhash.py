@@ -199,8 +199,11 @@ def _with_components(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     links = written(linked_pairs(prints.select("__fp")))
     roots = connected(links).withColumnRenamed("node", "__fp")
     rooted = prints.join(roots, "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    least = rooted.groupBy("root").agg(F.min("__own").alias("__least"))
-    named = rooted.join(least, "root").select(F.col("__fp").alias("__of"), "__least")
+    # a component may hold most of the fingerprints; of components of several there are few
+    least = written(rooted.groupBy("root").agg(F.min("__own").alias("__least"), F.count(F.lit(1)).alias("__n"))
+                    .where(F.col("__n") > 1).drop("__n"))
+    named = rooted.join(checked_broadcast(least), "root", "left") \
+        .select(F.col("__fp").alias("__of"), F.coalesce("__least", "__own").alias("__least"))
     return found.join(named, F.col("__fp") == F.col("__of")).drop("__of")
 
 

@@ -32,6 +32,7 @@ SPAN = LENGTH - GRAM + 1  # grams in a string
 PART = 1 << 20  # starts of a long text that are handled at once
 PLACE_BITS = 22
 MULTIPLIER = 0x9E3779B97F4A7C15
+OTHER_MULTIPLIER = 0xD6E8FEB86659FD93
 FILTER_BYTES = 1 << 25  # most that the filter of repeated anchors takes; beyond, it only sifts less
 LARGE = 2048  # places of an anchor; beyond, its strings are dealt out by their hashes
 SORTED_AT_ONCE = 1 << 19  # bytes; below 1 << 21 a sort of triples is one of single numbers
@@ -41,10 +42,10 @@ STRINGS_AT_ONCE = 1 << 18
 class Hasher:
     """Polynomial hashes of all strings of one length in a text, modulo 2**64."""
 
-    def __init__(self, size: int, seed: int = 1):
+    def __init__(self, size: int, seed: int = 1, multiplier: int = MULTIPLIER):
         ones = np.ones(1, np.uint64)
-        inverse = np.uint64(pow(MULTIPLIER, -1, 1 << 64))
-        factor = np.full(size, MULTIPLIER, np.uint64)
+        inverse = np.uint64(pow(multiplier, -1, 1 << 64))
+        factor = np.full(size, multiplier, np.uint64)
         self.powers = np.cumprod(np.concatenate([ones, factor]), dtype=np.uint64)
         self.inverse = np.cumprod(np.concatenate([ones, np.full(size, inverse)]), dtype=np.uint64)
         self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -377,7 +378,7 @@ def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     parts by ranges of it, which keeps neighbouring starts together; where one distance is too
     many, by their hash as well.
     """
-    hashers = [Hasher(2 * LENGTH, seed) for seed in (2, 3)]
+    hashers = [Hasher(2 * LENGTH, 2), Hasher(2 * LENGTH, 3, OTHER_MULTIPLIER)]
     for batch in batches:
         for low in range(0, len(batch), 1000):
             yield _packed_hashes(batch.slice(low, 1000), hashers)
