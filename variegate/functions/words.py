@@ -79,7 +79,9 @@ def strip_punctuation(text: Column) -> Column:
 
 def meaningful_tokens(item: Column, language: str = "english") -> Column:
     stops = stop_words(language)
-    tokens = word_tokens(strip_punctuation(F.lower(item)))
+    # as an element of an array the text is made once, and not for each use of it in the rules
+    plain = F.array(strip_punctuation(F.lower(item)))
+    tokens = F.flatten(F.transform(plain, word_tokens))
     return F.filter(tokens, lambda t: t.rlike(r"^\p{L}+$") & ~t.isin(stops))
 
 
