@@ -109,4 +109,61 @@ def test_probes_are_in_order_of_success():
 
 
 def test_projections_grow():
-    assert [n.projections_for(r) for r in (0, 4000, 100_000, 400_000, 10**9)] == [4, 4, 4, 6, 8]
+    assert [n.projections_for(r) for r in (0, 4000, 100_000, 400_000, 10**9)] == [4, 4, 4, 6, 13]
+
+
+def test_moves_cross_few_borders_first():
+    moves = n.moves_of(4, 3000)
+    assert len(moves) == 81 and len({tuple(m) for m in moves}) == 81
+    crossed = (n.moves_of(13, n.MOST_MOVES) != 0).sum(1)
+    assert len(crossed) <= n.MOST_MOVES and (np.diff(crossed) >= 0).all() and crossed.max() == 3
+    assert len(crossed) == sum(len(list(n.itertools.combinations(range(13), i))) * 2 ** i for i in range(4))
+
+
+@pytest.mark.parametrize("first_rows, most", [(10, 3_000), (1, 60)])
+def test_recall_with_more_projections(spark, monkeypatch, first_rows, most):
+    """As for large tables; with too few perturbations for the goal there are fewer projections."""
+    monkeypatch.setattr(n, "FIRST_ROWS", first_rows)
+    monkeypatch.setattr(n, "MOST_MOVES", most)
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(30, 24))
+    vectors = (centers[rng.integers(0, 30, 2500)] + 0.4 * rng.normal(size=(2500, 24))).astype(np.float32)
+    assert n.projections_for(2500) > 8
+    tables, probes = n.fitted(24, 2500, vectors.astype(float), 5)
+    assert probes <= len(tables.moves) and (most > 60) == (tables.axes.shape[2] > 8)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], SCHEMA)
+    found = n.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    hits = sum(len(set(rows.vec_id) & set(exact(list(range(2500)), vectors, q, 5)[0]))
+               for q, rows in found.groupby("query_id"))
+    assert hits >= 0.9 * 5 * 50
+
+
+def test_each_dimension_by_itself(spark):
+    rng = np.random.default_rng(8)
+    two = [(i, rng.normal(size=2).tolist(), 0) for i in range(40)]
+    three = [(100 + i, rng.normal(size=3).tolist(), 0) for i in range(30)]
+    df = spark.createDataFrame(two + three + [(200, [1.0], 0)], SCHEMA)
+    found = n.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    by_query = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    for rows, query in ((two, 0), (three, 100)):
+        ids = [i for i, _, _ in rows]
+        vectors = np.array([v for _, v, _ in rows], np.float32)
+        assert set(by_query[query]) == set(exact(ids, vectors, query, 5)[0])
+    assert set(by_query) == {0, 100}
+
+
+def test_many_queries_without_enough_candidates(spark):
+    """Over a thousand lonely queries are compared with all rows, in several parts."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(1300, 40)).astype(np.float32))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keyed = df.select("vec_id", "embedding", F.xxhash64("embedding").alias("k1"),
+                      F.xxhash64(F.lit(1), "embedding").alias("k2"))
+    entries = keyed.withColumn("ids", F.array("vec_id"))
+    found = n._merged(n._compared_with_all(keyed, entries, 40, 5), 5).join(keyed, ["k1", "k2"]).collect()
+    assert len(found) == 1300
+    ids, vectors = list(range(1300)), [v for _, v, _ in rows]
+    for r in found[:40]:
+        assert [x.row for x in r.best if x.row != r.vec_id][:5] == exact(ids, vectors, r.vec_id, 5)[0]

@@ -10,6 +10,7 @@ all tables are merged and ranked by their cosine on the original vectors, in dou
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from variegate.llm.common import checked_broadcast, written
 TABLES = 4
 WIDTH = 1.44  # of a cell; a projection of a unit vector has standard deviation 1
 FIRST_ROWS = 100_000  # for which four projections are enough; three times as many need one more
+MOST_MOVES = 3_000  # perturbations that a query chooses from, those of fewest crossed borders
 SAMPLE = 4000  # vectors that the number of probes is fitted on
 SAMPLE_QUERIES = 300
 RECALL = 0.985  # of the sample's neighbours, that the fitted number of probes finds
@@ -45,7 +47,7 @@ class Tables:
         rng = np.random.default_rng(5)
         self.axes = rng.normal(size=(tables, size, projections)) / width
         self.shifts = rng.uniform(0, 1, (tables, 1, projections))
-        self.moves = np.array(list(itertools.product((0, -1, 1), repeat=projections)))
+        self.moves = moves_of(projections, MOST_MOVES)
 
     def cells(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells as whole numbers and the place within them: tables x vectors x projections."""
@@ -62,6 +64,21 @@ class Tables:
         return cells[:, :, None, :] + self.moves[best]
 
 
+def moves_of(projections: int, most: int) -> np.ndarray:
+    """Perturbations that cross a border in the fewest projections, all up to some number of them."""
+    rows = [np.zeros((1, projections), np.int8)]
+    total = 1
+    for crossed in range(1, projections + 1):
+        total += math.comb(projections, crossed) * 2 ** crossed
+        if total > most:
+            break
+        for where in itertools.combinations(range(projections), crossed):
+            own = np.zeros((2 ** crossed, projections), np.int8)
+            own[:, where] = list(itertools.product((-1, 1), repeat=crossed))
+            rows.append(own)
+    return np.concatenate(rows)
+
+
 def bucket_names(cells: np.ndarray) -> np.ndarray:
     """One number for the cells of the last axis: 64 bits, mixed."""
     name = np.zeros(cells.shape[:-1], np.uint64)
@@ -82,12 +99,24 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def projections_for(rows: int) -> int:
-    """Four for few rows, one more for every threefold, up to eight."""
-    return int(min(8, 4 + max(0, np.ceil(np.log(max(rows, 1) / FIRST_ROWS) / np.log(3)))))
+    """Four for few rows, one more for every threefold, so buckets do not grow with the table."""
+    return int(4 + max(0, np.ceil(np.log(max(rows, 1) / FIRST_ROWS) / np.log(3))))
+
 
+def fitted(size: int, rows: int, sample: np.ndarray, k: int) -> tuple[Tables, int]:
+    """Tables, and the probes of each; with fewer projections where no probes meet the goal."""
+    for projections in range(projections_for(rows), 4, -1):
+        tables = Tables(size, projections)
+        probes = fitted_probes(tables, sample, k)
+        if probes is not None:
+            return tables, probes
+    tables = Tables(size, 4)
+    return tables, fitted_probes(tables, sample, k) or len(tables.moves)
 
-def fitted_probes(tables: Tables, sample: np.ndarray, k: int, goal: float = RECALL) -> int:
-    """Probes of each table with which ``goal`` of the sample's nearest vectors are met."""
+
+def fitted_probes(tables: Tables, sample: np.ndarray, k: int, goal: float = RECALL) -> int | None:
+    """Probes of each table with which ``goal`` of the sample's nearest vectors are met; None if all
+    perturbations are too few."""
     most = len(tables.moves)
     if len(sample) < 2:
         return most
@@ -102,7 +131,8 @@ def fitted_probes(tables: Tables, sample: np.ndarray, k: int, goal: float = RECA
     for t in range(len(names)):
         met = visited[t][:, None, :] == names[t][near][:, :, None]
         rank = np.minimum(rank, np.where(met.any(2), met.argmax(2), most))
-    return int(min(most, np.sort(rank.ravel())[int(np.ceil(goal * rank.size)) - 1] + 1))
+    needed = int(np.sort(rank.ravel())[int(np.ceil(goal * rank.size)) - 1]) + 1
+    return needed if needed <= most else None
 
 
 class Best:
@@ -142,9 +172,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found of each query.
 
     vectors: vec_id, embedding; asks: which rows are queries. All rows but the query's own are
-    candidates, copies too. Null, zero, null-holding and non-finite vectors take no part, nor do
-    vectors of another dimension than most have (the smallest of those equally common), nor null
-    ids. A table without two usable rows gives no result. A query that meets fewer than ``k``
+    candidates, copies too. Null, zero, null-holding and non-finite vectors take no part, nor do null
+    ids. Vectors of different dimensions have no cosine, so each dimension is searched by itself.
+    A query without another row of its dimension has no result. A query that meets fewer than ``k``
     rows in its buckets is compared with all. Equal vectors are one entry with their ``k + 1``
     smallest different ids, all that can appear in a result: an id counts once for a vector,
     however often the row is repeated. An id with several vectors is a candidate with each of them,
@@ -155,16 +185,20 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
         .where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     keyed = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("k1"),
                         F.xxhash64(F.lit(1), "embedding").alias("k2"))
-    sizes = keyed.groupBy(F.size("embedding").alias("size")).count() \
-        .orderBy(F.desc("count"), "size").limit(1).collect()
+    sizes = sorted(r[0] for r in keyed.select(F.size("embedding")).distinct().collect())
     schema = T.StructType([T.StructField("query_id", T.LongType()),
                            T.StructField("rank", T.IntegerType()),
                            T.StructField("vec_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    size = sizes[0]["size"]
-    keyed = keyed.where(F.size("embedding") == size)
+    out = None
+    for size in sizes:
+        own = _nearest_of(keyed.where(F.size("embedding") == size), asks, size, k)
+        out = own if out is None else out.union(own)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _nearest_of(keyed: DataFrame, asks: Column, size: int, k: int) -> DataFrame:
+    """:func:`nearest` among vectors of one dimension: vec_id, embedding, k1, k2."""
     from pyspark.sql import Window
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
     different = keyed.groupBy("k1", "k2", "vec_id").agg(F.first("embedding").alias("embedding"))
@@ -176,11 +210,10 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     wanted = written(keyed.where(asks).groupBy("k1", "k2")
                      .agg(F.first("embedding").alias("embedding")))
     total = entries.count()
-    tables = Tables(size, projections_for(total))
     share = int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))
     sample = entries.where(F.pmod("k2", F.lit(1 << 30)) < share).orderBy("k1", "k2") \
         .limit(2 * SAMPLE).select("embedding").collect()
-    probes = fitted_probes(tables, np.array([r[0] for r in sample], float).reshape(-1, size), k)
+    tables, probes = fitted(size, total, np.array([r[0] for r in sample], float).reshape(-1, size), k)
     found = _found(entries, wanted, tables, probes, size, k)
     best = _merged(found, k)
     lacking = written(wanted.join(best.where(F.size("best") > k), ["k1", "k2"], "left_anti"))
