@@ -1,0 +1,40 @@
+"""Queries with Python tasks, with workers that cannot import the package."""
+
+import os
+import subprocess
+import sys
+
+from conftest import DATA, ROOT
+
+NAMES = ["token_counts_documents", "exported_answers", "scores_in_sql", "diversity_dense_documents",
+         "sentence_counts", "compression_distance_documents", "diversity_by_label", "self_bleu_words",
+         "correlation_report", "ledger_first_entries"]
+PROBE = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})  # the driver's own path; workers do not see it
+from variegate.session import get_session
+from variegate.plans.catalog import QUERIES
+spark = get_session("bare", "local[4]", shuffle_partitions=4, **{{"spark.ui.enabled": "false"}})
+spark.sparkContext.setLogLevel("OFF")
+
+def known(batches):
+    try:
+        import variegate
+    except ImportError:
+        return
+    raise ValueError("the package is there")
+    yield
+
+spark.range(4).mapInArrow(known, "id long").collect()
+for name in {NAMES!r}:
+    QUERIES[name](spark, {DATA!r}).write.format("noop").mode("overwrite").save()
+    print("done", name, flush=True)
+"""
+
+
+def test_queries_run_without_the_package_on_executors(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", PROBE], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=900)
+    done = [line.split()[1] for line in run.stdout.splitlines() if line.startswith("done ")]
+    assert done == NAMES and run.returncode == 0, (done, run.stderr[-2000:])
