@@ -33,7 +33,9 @@ END = rf"(?!{WORD})"
 
 # The published Penn Treebank word-splitting rules. The first sets marks
 # apart; a full stop before white space is taken as the end of a sentence. The others,
-# as (pattern, replacement), concern quotes and contractions.
+# as (pattern, replacement), concern quotes and contractions. What must stand before a sign is asked
+# behind it, since the sign is rarer: over 95,513 lines the marks take 7.0 s against 10.0 s with the
+# question in front, marks and quotes together 11.5 s against 16.1 s.
 MARKS = (r"\.{2,}|--|[;@#$%&?!*\[\](){}<>«“‘„»”’]|`+|[:,](?!\d)"
          r"""|\.(?<=[^.\s]\.)(?=[\])}>"'»”’ ]*(?:\s|\z))""")
 QUOTE_RULES = [
