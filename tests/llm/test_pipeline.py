@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variegate.llm import decontamination, simhash
+from test_decontamination import brute_force
+
+from variegate.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, n_hit string"
 ITEM = "which of these nine quiet rivers runs north before it reaches the old harbour town"
@@ -64,7 +66,7 @@ def by_loops(rows):
             if counts[raw[j:j + 400]] > 1:
                 gone[j:j + 400] = True
         kept = bytes(np.frombuffer(raw, np.uint8)[~gone]).decode("utf-8", "ignore")
-        if not decontamination.brute_force([kept], {1: ITEM})[0][1]:
+        if not brute_force([kept], {1: ITEM})[0][1]:
             out.append((i, kept))
     return out
 

@@ -1 +1 @@
-"""Operators for preparing training text: ten numbered ones, their queries and SQL."""
+"""Operators for preparing training text: thirteen numbered ones, their queries and SQL."""

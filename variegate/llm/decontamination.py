@@ -7,7 +7,6 @@ and the words' places in the original text give the offsets.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -184,25 +183,3 @@ def spans_of(text: str, hits: list[int]) -> list[dict]:
 
 def items_digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
-
-
-def brute_force(docs: list[str | None], items: dict[int, str | None], n: int = WINDOW) -> list:
-    """Word by word, for tests: ``(n_words, n_hit, n_items, digest)`` of each document."""
-    def plain(text):
-        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
-
-    out = []
-    for text in docs:
-        words, hit, names = plain(text), set(), set()
-        for name, item in items.items():
-            own = plain(item)
-            size = min(n, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                for j in range(len(words) - size + 1):
-                    if words[j:j + size] == own[i:i + size]:
-                        hit.update(range(j, j + size))
-                        names.add(str(name))
-        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-        out.append((len(words), len(hit), len(names), digest))
-    return out
