@@ -150,3 +150,16 @@ def test_empty_table_and_no_words(spark):
     assert m.taken_words(spark.createDataFrame([], SCHEMA)).count() == 0
     found = m.taken_words(spark.createDataFrame([(1, " ", "a", "", 1), (2, None, None, "", 1)], SCHEMA)).collect()
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in found} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_more_sources_than_are_broadcast(spark):
+    """Documents and sources then meet by a join in parts; a third of the rows has one source."""
+    docs = spark.range(150_000).select(
+        F.col("id").alias("doc_id"), F.lit("two words").alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    found = m.taken_words(docs).groupBy("source", "source_size", "target").agg(
+        F.sum("taken").alias("taken"), F.count("*").alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+    rows = found.collect()
+    assert len(rows) == 100_001 and sum(r.n for r in rows) == 150_000
+    assert all(r.taken == math.floor(r.target) and r.over <= 0 for r in rows)
+    assert sum(r.target for r in rows) == pytest.approx(1.5 * 300_000)
