@@ -518,7 +518,8 @@ def score_rating_report(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {query.__name__: query for query in (
     diversity_by_label, diversity_first_two, diversity_first_three, cosine_profile,
-    spectrum_moments, diversity_summary, nested_vectors, embeddings_from_responses, pending_answers, embedding_responses,
+    spectrum_moments, diversity_summary, nested_vectors, embeddings_from_responses,
+    pending_answers, embedding_responses,
     extract_items_rendered, extract_items_plain, meaningful_items, valid_attempts,
     selected_replies, selected_answers, pending_queries, attempt_log, attempt_summary,
     generation_messages, contextualized_text, judge_prompts, judge_prompt_parts,
