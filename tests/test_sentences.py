@@ -1,6 +1,7 @@
 """Sentence borders learned from a corpus: published statistics, tokens, odd rows."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,22 @@ def test_odd_tables(spark):
 
 def test_order_and_partitions_do_not_matter(spark, corpus, model):
     assert S.fit_sentences(corpus.orderBy(F.desc("id")).repartition(7), "text") == model
+
+
+def test_long_texts_take_time_in_proportion(spark, model):
+    """Each token once asked for the whole text's tokens again, so ten times the text took a hundred."""
+    def seconds(n):
+        df = spark.createDataFrame([("Dr. Smith met the men. " * n,)] * 2, "t string")
+        began = time.perf_counter()
+        found = df.select(F.size(S.sentences(F.col("t"), model)),
+                          F.size(S.trained_tokens(F.col("t"), model))).collect()
+        assert [tuple(r) for r in found] == [(n, 6 * n)] * 2
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(6000) < 10
+
+
+def test_a_null_text_has_no_words(spark, model):
+    assert words(spark, None, model) is None and split(spark, None, model) is None
+    assert words(spark, "", model) == [] and split(spark, "", model) == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +52,11 @@ def drop_truncated_tail(items: Column, finish_reason: Column) -> Column:
     """Without its last item, where the reply did not end by itself."""
     shorter = F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
     return F.when(finish_reason.eqNullSafe(F.lit("stop")), items).otherwise(shorter)
+
+
+def evaluated_once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)``, for functions that use the value in a lambda or more than once.
+
+    As the element of an array the value is made once for each row, and not for each use of it.
+    """
+    return F.get(F.transform(F.array(value), function), F.lit(0))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from variegate.functions.lists import evaluated_once
 from variegate.functions.words import whitespace_tokens, word_tokens
 from variegate.session import cut_lineage
 
@@ -50,7 +51,7 @@ def type_of(core: Column) -> Column:
 
 def may_end(token: Column) -> Column:
     """Whether a sentence can end with the token: one full stop, or any other end mark."""
-    return token.rlike(rf"(?:[^.]\.|[!?]){CLOSING}")
+    return token.rlike("[.!?]") & token.rlike(rf"(?:[^.]\.|[!?]){CLOSING}")
 
 
 def token_pairs(df: DataFrame, text: str) -> DataFrame:
@@ -71,10 +72,14 @@ def abbreviation_statistics(df: DataFrame, text: str) -> DataFrame:
 
     A word holds a letter. Tokens without one count among all tokens and full stops only.
     """
+    # equal tokens are counted first: the patterns run once for each of them
+    tokens = df.select(F.explode(whitespace_tokens(F.col(text))).alias("token")) \
+        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     core = bare(F.col("token"))
-    counts = token_pairs(df, text).groupBy(type_of(core).alias("type")).agg(
-        F.count(F.when(has_stop(core), 1)).alias("n_stop"),
-        F.count(F.when(~has_stop(core), 1)).alias("n_plain"))
+    stopped = tokens.select(type_of(core).alias("type"), has_stop(core).alias("stopped"), "n")
+    counts = stopped.groupBy("type").agg(
+        F.coalesce(F.sum(F.when(F.col("stopped"), F.col("n"))), F.lit(0)).alias("n_stop"),
+        F.coalesce(F.sum(F.when(~F.col("stopped"), F.col("n"))), F.lit(0)).alias("n_plain"))
     counts = cut_lineage(counts)
     total, stops = counts.agg(F.sum(F.col("n_stop") + F.col("n_plain")), F.sum("n_stop")).first()
     chance = F.lit((stops or 0) / max(total or 0, 1))
@@ -98,9 +103,11 @@ def starter_statistics(df: DataFrame, text: str, abbreviations: tuple[str, ...])
     before = F.col("before")
     known = type_of(bare(before)).isin(list(abbreviations)) if abbreviations else F.lit(False)
     sure = F.coalesce(may_end(before) & ~(known & has_stop(bare(before))), F.lit(False))
-    counts = cut_lineage(
-        token_pairs(df, text).groupBy(type_of(bare(F.col("token"))).alias("type")).agg(
-            F.count(F.when(sure, 1)).alias("n_starts"), F.count(F.lit(1)).alias("n_all")))
+    tokens = token_pairs(df, text).groupBy("token", sure.alias("sure")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(tokens.groupBy(type_of(bare(F.col("token"))).alias("type")).agg(
+        F.coalesce(F.sum(F.when(F.col("sure"), F.col("n"))), F.lit(0)).alias("n_starts"),
+        F.sum("n").alias("n_all")))
     total, borders = counts.agg(F.sum("n_all"), F.sum("n_starts")).first()
     total, borders = float(total or 0), float(borders or 0)
     at, everywhere = F.col("n_starts"), F.col("n_all")
@@ -138,23 +145,27 @@ def _held_back(token: Column, following: Column, model: SentenceModel) -> Column
             & type_of(bare(following)).isin(list(model.starters))
         mid = ~F.coalesce(begins, F.lit(False))
     # a text's last full stop ends its sentence, whatever it follows
-    return has_stop(core) & may_end(token) & type_of(core).isin(list(model.abbreviations)) \
+    return F.contains(token, F.lit(".")) & has_stop(core) & may_end(token) & type_of(core).isin(list(model.abbreviations)) \
         & following.isNotNull() & mid
 
 
 def trained_tokens(text: Column, model: SentenceModel) -> Column:
     """Treebank words; of full stops before white space only those at sentence borders are split off."""
-    tokens = whitespace_tokens(text)
-    kept = F.transform(tokens, lambda t, i: F.when(
-        _held_back(t, F.get(tokens, i + 1), model),
-        F.regexp_replace(t, rf"\.({CLOSING})", f"{HELD}$1")).otherwise(t))
-    return F.transform(word_tokens(F.array_join(kept, " ")), lambda t: F.replace(t, F.lit(HELD), F.lit(".")))
+    def join(tokens: Column) -> Column:
+        kept = F.transform(tokens, lambda t, i: F.when(
+            _held_back(t, F.get(tokens, i + 1), model),
+            F.regexp_replace(t, rf"\.({CLOSING})", f"{HELD}$1")).otherwise(t))
+        return F.array_join(kept, " ")
+
+    joined = evaluated_once(whitespace_tokens(text), join)
+    return F.transform(evaluated_once(joined, word_tokens), lambda t: F.replace(t, F.lit(HELD), F.lit(".")))
 
 
 def sentences(text: Column, model: SentenceModel) -> Column:
     """The sentences of a text, their words separated by one blank; none of an empty text."""
-    tokens = whitespace_tokens(text)
-    marked = F.transform(tokens, lambda t, i: F.when(
-        may_end(t) & ~_held_back(t, F.get(tokens, i + 1), model), F.concat(t, F.lit(HELD))).otherwise(t))
-    cut = F.split(F.array_join(marked, " "), HELD)
+    def mark(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: F.when(
+            may_end(t) & ~_held_back(t, F.get(tokens, i + 1), model), F.concat(t, F.lit(HELD))).otherwise(t))
+
+    cut = F.split(F.array_join(evaluated_once(whitespace_tokens(text), mark), " "), HELD)
     return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
