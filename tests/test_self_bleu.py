@@ -104,6 +104,33 @@ def test_repeated_position(spark, small):
             self_bleu(df, ["k"], small=small).collect()
 
 
+def test_many_groups_at_once(spark, monkeypatch):
+    """Counted some groups at a time, all in one go, or by gram: the same, with nulls among the keys."""
+    from variegate.operators import self_bleu as module
+    rng = np.random.default_rng(8)
+    rows = [(None if g == 3 else g, float("nan") if g % 4 == 0 else g % 4 / 2, i,
+             " ".join(rng.choice(list("abcde"), rng.integers(0, 20))))
+            for g in range(40) for i in range(rng.integers(1, 30))]
+    df = spark.createDataFrame(rows, "k long, l double, answer_idx int, answer string").repartition(3)
+
+    def scores(**options):
+        found = self_bleu(df, ["k", "l"], tokenizer=whitespace_tokens, **options).collect()
+        return {(r["k"], str(r["l"])): r["score"] for r in found}
+
+    one, other = scores(), scores(small=0)
+    monkeypatch.setattr(module, "TOKENS_AT_ONCE", 10)
+    assert len(one) == 40
+    assert one == pytest.approx(other, abs=1e-12) and scores() == pytest.approx(one, abs=1e-12)
+
+
+def test_no_rows_for_grams_of_small_groups(spark, capsys):
+    """The n-grams of small groups are counted in their task: nothing is exploded, one row an answer."""
+    df = frame(spark, {"a": ["x y z"] * 3})
+    self_bleu(df, ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 def test_null_key_with_queries(spark):
     df = spark.createDataFrame([(None, 0, "a b c d"), (None, 1, "a b c e"), ("k", 0, "x")],
                                "k string, answer_idx int, answer string")
