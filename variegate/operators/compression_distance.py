@@ -51,7 +51,10 @@ def _small_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
         units = [Unit(text, gzip_size(text), sorted(where)) for text, where in positions.items()]
         return [distance_sums(units, None)]
 
-    return per_small_group(rows, keys, SUMS, kernel)
+    # By a fixed number of partitions: the rows are few bytes for the time that their pairs take, and
+    # would be put together by their bytes.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return per_small_group(rows.repartition(partitions, *keys), keys, SUMS, kernel, placed=True)
 
 
 def _large_sums(groups: SizedGroups, keys: list[str], block: int, stretch: int) -> DataFrame:
