@@ -87,3 +87,14 @@ def test_negative_cosines_reach_the_score(df):
     vectors = d.dense_embedding(df, model).withColumn("group", F.col("id") % 4)
     profile = diversity_profile(vectors, ["group"], order="id").collect()
     assert all(r.score > 1 for r in profile) and sum(r.n_negative_pairs for r in profile) > 0
+
+
+def test_a_pass_is_made_by_all_tasks_at_once(spark, monkeypatch):
+    """What the driver iterates over is there before; it would run the tasks one after the other."""
+    rows = spark.createDataFrame([([i % 5, i % 3],) for i in range(40)], "features array<int>").repartition(4)
+    made = []
+    own = d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage",
+                        lambda df: made.append(df.rdd.getNumPartitions()) or own(df))
+    d.range_pass(rows, np.ones(5), np.eye(5)[:, :3])
+    assert made == [4]

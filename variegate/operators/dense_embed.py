@@ -126,7 +126,8 @@ def range_pass(rows: DataFrame, weights: np.ndarray, thin: np.ndarray) -> tuple[
         count = -(-count // FAN)
         parts = cut_lineage(parts).repartition(count).mapInArrow(_joining(thin.shape[1]), PARTS)
     triangle, back = np.zeros((0, thin.shape[1])), np.zeros(thin.size)
-    for r in parts.toLocalIterator():
+    # made by all tasks at once; the iterator would run one task after the other
+    for r in cut_lineage(parts).toLocalIterator():
         triangle = np.vstack([triangle, np.frombuffer(r["triangle"]).reshape(-1, thin.shape[1])])
         back = back + np.frombuffer(r["back"])
     sent.unpersist()
