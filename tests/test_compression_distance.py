@@ -57,3 +57,10 @@ def test_blocks_and_copies(spark):
     found = {r["k"]: r["score"] for r in compression_distance(
         frame(spark, groups), ["k"], block=6, stretch=16).collect()}
     assert found == pytest.approx({k: by_definition(t) for k, t in groups.items()}, abs=1e-12)
+
+
+def test_small_groups_keep_their_partitions(spark, capsys):
+    """The few bytes of small groups, whose pairs take long, are not put together in fewer tasks."""
+    compression_distance(frame(spark, GROUPS), ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
