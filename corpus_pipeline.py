@@ -14,6 +14,7 @@ from variegate.llm.vocabulary import read_vocabulary
 from variegate.session import ensure_checkpoint_dir
 
 LEAST_CHANCE = 0.5  # of the language found; every clear text is far above
+LEAST_WORDS = 51  # of a repeated passage; they take 101 bytes at least, with a blank between them
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +39,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere; n_chars counts what is left.
+    """Texts without the passages that occur elsewhere; n_chars counts what is left.
 
-    All documents stay, one that is all repeats as an empty text. Of a character that a cut
+    Those are runs of over 50 words, or of 400 bytes, whose every string of 101 bytes is repeated. All documents stay, one that is all repeats as an empty text. Of a character that a cut
     divides nothing is left. Texts without a cut stay as they are, null too.
     """
     rows, named = apart(docs, "text", "n_chars")
     cut = F.col("n_removed") > 0
-    found = suffixes.remove_repeats(rows) \
+    found = suffixes.remove_repeats(rows, length=2 * LEAST_WORDS - 1, least_words=LEAST_WORDS) \
         .withColumn("text", F.when(cut, suffixes.readable(F.col("kept"))).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long"))
                             .otherwise(F.col("n_chars"))).select(*named)

@@ -98,3 +98,18 @@ def test_stages_return_the_columns(spark, folder):
 def test_stage_count():
     assert [n for n, _ in c.STAGES][:2] == ["language identification", "SimHash near-dedup"]
     assert len(c.STAGES) == 5 and c.ORACLE_SQL is None
+
+
+def test_passages_of_over_50_words_are_cut(spark, folder):
+    """Also those that take fewer than 400 bytes; 50 words stay."""
+    rng = random.Random(2)
+    own = lambda n: " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 5))) for _ in range(n))
+    long, short = own(51), own(50)
+    texts = [f"1: {long}\n{own(30)}", f"{own(9)}: {long}.", f"2: {short}\n{own(30)}", f"{own(9)}: {short}.", None]
+    rows = [(i, t, "en", None, None if t is None else len(t), 3, "x") for i, t in enumerate(texts)]
+    assert len(long) < 400
+    found = {r.doc_id: r for r in c.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA), folder[0]).collect()}
+    assert [long.strip() in (found[i].text or "") for i in (0, 1)] == [False, False]
+    assert [found[i].text for i in (2, 3, 4)] == texts[2:]
+    assert found[0].text.startswith("1") and found[0].text.endswith(texts[0][-90:])
+    assert all(found[i].n_chars == len(found[i].text) for i in range(4))

@@ -99,3 +99,42 @@ def test_removed_and_readable(spark):
     assert (rows[1].read, rows[2].read) == ("ab", "cdé")
     assert [(x.start, x.end) for x in rows[1].removed] == [(2, 502)]
     assert s.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [64, 101, 144, 200, 215, 217, 650])
+def test_other_lengths(length):
+    """Names of a third of the length and more are compared from end to end."""
+    rng = np.random.default_rng(length)
+    base = rng.integers(97, 97 + 2, 1500, dtype=np.uint8)
+    text = np.concatenate([base, base[100:100 + 2 * length], rng.integers(97, 110, 90, dtype=np.uint8)])
+    for at in range(1500 + length, 1500 + 2 * length, 7):  # one byte in the copy is another
+        text[at] ^= rng.random() < 0.02
+    text = np.concatenate([text, text[40:40 + length], text[700:699 + length], text[:9]])
+    starts = np.arange(len(text) - length + 1)
+    raw = text.tobytes()
+    counts = Counter(raw[i:i + length] for i in starts.tolist())
+    assert s.repeated_starts(text, starts, length).tolist() == [counts[raw[i:i + length]] > 1
+                                                               for i in starts.tolist()]
+
+
+@pytest.mark.parametrize("large", [s.LARGE, 3])
+def test_passages_by_words(spark, monkeypatch, large):
+    """Of the runs of repeated strings those of enough whole words go, or of 400 bytes."""
+    monkeypatch.setattr(s, "LARGE", large)
+    rng = random.Random(5)
+
+    def own(n):
+        return " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 8))) for _ in range(n))
+
+    long, short, glued, line = own(51), own(50), own(200).replace(" ", ""), "wide " * 30
+    texts = [own(9) + "\n" + long + "\n" + own(20), long, own(3) + " " + short + " " + own(5),
+             "x " + short + " " + own(4), "y" + short + " " + own(4), own(6) + glued + own(3), glued + " " + own(7),
+             own(8) + "\n" + line + own(8), own(9) + "\n" + line + own(9), None, "", short, short]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.kept.decode() for r in s.remove_repeats(docs, length=101, least_words=51).collect()}
+    for i, (text, cut) in enumerate(zip(texts, [long, long, "", "", "", glued, glued, *[""] * 6])):
+        left = (text or "").replace(cut, "") if cut else text or ""
+        # the byte beside a passage may be the same on both sides
+        assert found[i] == left or cut and len(left.encode()) - len(found[i].encode()) in (1, 2), i
+    with pytest.raises(ValueError, match="64 is the least"):
+        s.remove_repeats(docs, length=63)
