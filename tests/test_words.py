@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def test_word_tokens(one, text, expected):
     assert one(words.word_tokens(F.col("t")), t=text) == expected.split()
 
 
+# The rule of the marks, one alternative for each kind.
+MARKS = (r"\.{2,}|--|[;@#$%&?!*\[\](){}<>«“‘„»”’]|`+|[:,](?!\d)"
+         r"""|\.(?<=[^.\s]\.)(?=[\])}>"'»”’ ]*(?:\s|\z))""")
+
+
+def test_marks(spark):
+    """One class of signs stands first, and the marks are those of the alternatives."""
+    rng = random.Random(3)
+    signs = ".-`:,;@#$%&?!*[](){}<>«“‘„»”’‚‛ \n\t1aZé'\""
+    texts = [("".join(rng.choices(signs, k=rng.randint(0, 24))),) for _ in range(5000)]
+    rows = spark.createDataFrame(texts, "t string")
+    marked, expected = (F.regexp_replace("t", rule, " $0 ") for rule in (words.MARKS, MARKS))
+    assert rows.where(marked != expected).count() == 0
+    assert words.MARKS.startswith("[")
+
+
 def test_token_count(one):
     assert one(words.token_count(F.col("t")), t="a, b") == 3
     assert one(words.token_count(F.col("t"), words.whitespace_tokens), t="a, b") == 2

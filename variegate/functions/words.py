@@ -34,10 +34,13 @@ END = rf"(?!{WORD})"
 # The published Penn Treebank word-splitting rules. The first sets marks
 # apart; a full stop before white space is taken as the end of a sentence. The others,
 # as (pattern, replacement), concern quotes and contractions. What must stand before a sign is asked
-# behind it, since the sign is rarer: over 95,513 lines the marks take 7.0 s against 10.0 s with the
-# question in front, marks and quotes together 11.5 s against 16.1 s.
-MARKS = (r"\.{2,}|--|[;@#$%&?!*\[\](){}<>«“‘„»”’]|`+|[:,](?!\d)"
-         r"""|\.(?<=[^.\s]\.)(?=[\])}>"'»”’ ]*(?:\s|\z))""")
+# behind it, since the sign is rarer: over 95,513 lines marks and quotes take 11.5 s against 16.1 s with
+# the question in front. The marks begin with one class of signs, which all other characters fail at
+# once; the runs of "." "-" "`" and the signs that depend on what follows are told apart behind it. Its range
+# ‘-„ also holds ‚ and ‛, which are no marks. Over 191,026 lines on 8 cores 0.24 s, 0.78 s by alternatives.
+SENTENCE_END = r"""(?<=[^.\s]\.)(?=[\])}>"'»”’ ]*(?:\s|\z))"""
+MARKS = (r"[;@#$%&?!*\[\](){}<>«»‘-„.\-`:,](?:(?<![.\-`:,‚‛])|(?<=[:,])(?!\d)"
+         rf"|(?<=\.)(?:\.+|{SENTENCE_END})|(?<=-)-|(?<=`)`*)")
 QUOTE_RULES = [
     (r'"(?<![^\s(\[{<]")', " `` "),
     (r"''|\"", " '' "),
