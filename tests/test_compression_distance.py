@@ -1,4 +1,5 @@
 import gzip
+import re
 from itertools import combinations
 
 import numpy as np
@@ -64,3 +65,11 @@ def test_small_groups_keep_their_partitions(spark, capsys):
     compression_distance(frame(spark, GROUPS), ["k"]).explain()
     plan = capsys.readouterr().out
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_pairs_of_blocks_keep_their_partitions(spark, capsys):
+    """Nor are those of large groups."""
+    groups = {"large": [f"text {i}" for i in range(9)]}
+    compression_distance(frame(spark, groups), ["k"], block=4).explain()
+    plan = capsys.readouterr().out
+    assert re.search(r"hashpartitioning\(k#\d+, low#\d+, high#\d+, 4\), REPARTITION_BY_NUM", plan)

@@ -74,9 +74,11 @@ def _large_sums(groups: SizedGroups, keys: list[str], block: int, stretch: int)
                 Unit(row["text"].encode("utf-8"), row["size"], row["positions"]))
         return [distance_sums(sides[low], None if low == high else sides[high])]
 
+    # By a fixed number of partitions, as the small groups are.
     columns = [*keys, "low", "high", "block", "text", "size", "positions"]
-    return per_group(pairs.select(*columns), [*keys, "low", "high"], SUMS, kernel) \
-        .drop("low", "high")
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pairs.select(*columns).repartition(partitions, *keys, "low", "high")
+    return per_group(placed, [*keys, "low", "high"], SUMS, kernel).drop("low", "high")
 
 
 class Unit:
